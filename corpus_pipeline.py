@@ -1,8 +1,51 @@
-"""Corpus pipeline."""
+"""The corpus pipeline: toxic documents go, then copies, near copies and benchmark leaks; the rest is packed.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a frame that is written as Parquet and read again as the next one's
+documents, so a lost executor costs one stage at most. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from oscilla.llm import decontam, exact, minhash, packing, queries, toxicity
+from oscilla.llm.common import durable, read_table
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")), queries.TOXIC_AT)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact.drop_exact(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.drop_near(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.drop_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, queries.vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", toxicity_filter),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", best_fit_packing),
+]
+
+#: Trained dictionaries, signatures and token ids have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
