@@ -8,9 +8,14 @@ where *every* residual capacity (tokens, documents, attention cost = sum of squa
 
 from __future__ import annotations
 
+import itertools
+import json
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +25,34 @@ from pyspark.sql import functions as F
 from .common import durable, text_of
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_CACHE: dict[str, bytes] = {}
-_CACHE_ENTRIES = 400_000
-_TOKENIZERS: dict[str, object] = {}
+#: Entries of either cache of an encoder: some 150 MB each at most for words of usual length.
+_CACHED = 700_000
+#: Letters and signs of which the pre-tokenizer's classes are those of ``re``, and which normalise to themselves but for case.
+_PLAIN = re.compile(r"[\x21-\x7E\xA1-\xB1\xB4-\xB8\xBA\xBB\xBF-\u012F\u0131-\u024F]*")
+_PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+_KNOWN = (
+    {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+#: The printable letter that stands for each byte in a byte-level vocabulary.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_HIDDEN = [b for b in range(256) if b not in _SHOWN]
+_LETTERS = [chr(b) if b in _SHOWN else chr(256 + _HIDDEN.index(b)) for b in range(256)]
+_ENCODERS: dict[str, Encoder] = {}
 
 
 @dataclass(frozen=True)
@@ -48,36 +78,65 @@ class Capacity:
         return np.array([self.tokens, self.documents or self.tokens, self.attention or float(self.tokens) ** 2], dtype=float)
 
 
-def tokenizer(path: str):
-    """The tokenizer of ``path``, loaded once a process; strings that spell special tokens are ordinary text."""
-    if path not in _TOKENIZERS:
+class Encoder:
+    """Ids as little-endian unsigned 32-bit bytes, by way of two caches of bounded size.
+
+    For vocabularies whose normaliser and pre-tokenizer are those of ``_KNOWN``, neither reaches across a blank (a line
+    feed counts as one), so the ids of a text are those of its blank-separated parts in a row. A part in plain Latin
+    letters is cut as the pre-tokenizer would, so that words which differ in case or punctuation are encoded once;
+    other parts go to the tokenizer whole, as do the texts under any other vocabulary. Full caches take no more
+    entries: frequent words come early.
+    """
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        loaded = Tokenizer.from_file(path)
-        loaded.encode_special_tokens = True
-        _TOKENIZERS[path] = loaded
-        _CACHE.clear()
-    return _TOKENIZERS[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        # Strings that spell special tokens are ordinary text.
+        self.tokenizer.encode_special_tokens = True
+        spec = json.loads(self.tokenizer.to_str())
+        self.known = (spec["normalizer"], spec["pre_tokenizer"]) == _KNOWN
+        self.parts: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            letters = word if word.isascii() else "".join([_LETTERS[c] for c in word.encode()])
+            ids = [t.id for t in self.tokenizer.model.tokenize(letters)]
+            found = struct.pack(f"<{len(ids)}I", *ids)
+            if len(self.words) < _CACHED:
+                self.words[word] = found
+        return found
+
+    def _part(self, part: str) -> bytes:
+        if _PLAIN.fullmatch(part):
+            found = b"".join(map(self._word, _PRE_TOKEN.findall(part.lower())))
+        else:
+            found = self._whole(part)
+        if len(self.parts) < _CACHED:
+            self.parts[part] = found
+        return found
 
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-def encode(text: str, path: str) -> bytes:
-    """Ids of ``text`` as little-endian unsigned 32-bit, by way of a cache of blank-separated words.
+    def encode(self, text: str) -> bytes:
+        if not self.known:
+            return self._whole(text)
+        parts = text.replace("\n", " ").split(" ")
+        found = list(map(self.parts.get, parts))
+        if None in found:
+            for k in itertools.compress(range(len(found)), map(is_, found, itertools.repeat(None))):
+                found[k] = self._part(parts[k])
+        return b"".join(found)
 
-    Neither the normaliser nor the pre-tokenizer of the vocabulary reaches across a blank, so the ids of a text are
-    those of its words in a row; line feeds count as blanks there as well.
-    """
-    model = tokenizer(path)
-    words = text.replace("\n", " ").split(" ")
-    try:
-        return b"".join(map(_CACHE.__getitem__, words))
-    except KeyError:
-        new = [w for w in set(words) if w not in _CACHE]
-        if len(_CACHE) + len(new) > _CACHE_ENTRIES:
-            _CACHE.clear()
-            new = list(set(words))
-        for w, e in zip(new, model.encode_batch(new, add_special_tokens=False), strict=True):
-            _CACHE[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(_CACHE.__getitem__, words))
+
+def encoder(path: str) -> Encoder:
+    """The encoder of ``path``, made once a process."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, tokens: int = 2048, end_id: int = 0, text: str = "text") -> DataFrame:
@@ -87,18 +146,20 @@ def token_pieces(docs: DataFrame, vocabulary: str, tokens: int = 2048, end_id: i
     """
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = encoder(vocabulary)
         for batch in batches:
             rows: list[tuple] = []
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(body.as_py(), vocabulary) + end
-                for k, at in enumerate(range(0, len(ids), 4 * tokens)):
-                    part = ids[at : at + 4 * tokens]
-                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
+                ids = model.encode(body.as_py()) + end
+                for k, start in enumerate(range(0, len(ids), 4 * tokens)):
+                    part = ids[start : start + 4 * tokens]
+                    rows.append((doc, k, start // 4, len(part) // 4, zlib.crc32(part)))
+            columns = zip(*rows, strict=True) if rows else [[]] * len(types)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
-                if rows
-                else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())],
+                [pa.array(c, t) for c, t in zip(columns, types, strict=True)],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
