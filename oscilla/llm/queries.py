@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact, minhash, packing, toxicity, urls
+from . import decontam, exact, html, license, lmscore, minhash, packing, quality, toxicity, urls
 from .common import read_table as table
 
 #: Documents that score this or more are toxic.
@@ -34,6 +34,19 @@ def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(docs, quality.fit(docs, quality.grades(table(spark, sf_dir, "labels"))))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_classes(table(spark, sf_dir, "documents"))
 
@@ -45,6 +58,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", predicted)
 
 
+def op9_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = table(spark, sf_dir, "labels").where("quality = 1 and coalesce(toxic, 0) = 0")
+    return lmscore.score(table(spark, sf_dir, "documents"), target)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -54,8 +72,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_best_fit_packing,
         op2_url_filter,
         op3_template_decontamination,
+        op4_block_labeller,
+        op5_ordinal_quality,
+        op6_license_scan,
         op7_bag_minhash,
         op8_toxicity,
+        op9_cross_entropy_difference,
         op10_exact_dedup,
     )
 }
