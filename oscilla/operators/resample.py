@@ -38,7 +38,11 @@ def resample_linear(samples: DataFrame, target_fs: float, order: tuple[str, ...]
     A point on a sample takes that sample (of equal timestamps the first), later points lie on the line from the last.
     """
     columns(samples, "series_id", time, *_AXES)
-    samples = samples.withColumn("ts_us", microseconds(F.col(time), ts_unit))
+    keys = {c: f"__{c}" for c in order if c != "ts_us"}
+    samples = samples.select(
+        "series_id", microseconds(F.col(time), ts_unit).alias("ts_us"), *_AXES, *(F.col(c).alias(k) for c, k in keys.items())
+    )
+    order = tuple(keys.get(c, c) for c in order)
     # Whole-series facts by window where a series is one task's anyway, else by an aggregate that is joined.
     if chunk_us is None:
         whole = W.partitionBy("series_id")

@@ -61,12 +61,12 @@ def jerk(samples: DataFrame, use_diff: bool = True, order: tuple[str, ...] = ("t
     left out.
     """
     columns(samples, "series_id", "ts_us", "x", "y", "z")
-    near = with_neighbour(samples, ["x", "y", "z"], "before", order=order, chunk_us=chunk_us)
-    near = with_neighbour(near, ["ts_us"], "after", order=order, ahead=True, chunk_us=chunk_us)
-    own = [F.col(c) - (F.col(f"before.{c}") if use_diff else F.lit(0.0)) for c in "xyz"]
-    first = F.col("before").isNull()
+    near = with_neighbour(samples, ["x", "y", "z"], "__before", order=order, chunk_us=chunk_us)
+    near = with_neighbour(near, ["ts_us"], "__after", order=order, ahead=True, chunk_us=chunk_us)
+    own = [F.col(c) - (F.col(f"__before.{c}") if use_diff else F.lit(0.0)) for c in "xyz"]
+    first = F.col("__before").isNull()
     keys = [c for c in order if c != "ts_us"]
-    return near.where(~(first & F.col("after").isNull())).select(
+    return near.where(~(first & F.col("__after").isNull())).select(
         "series_id", "ts_us", *keys, F.when(first, F.lit(0.0)).otherwise(magnitude(*own)).alias("jerk")
     )
 

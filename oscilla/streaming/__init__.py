@@ -13,14 +13,16 @@ from ..functions import magnitude
 from ..validate import columns, positive
 
 
-def stream_jerk(samples: DataFrame, idle_ms: int = 600_000) -> DataFrame:
+def stream_jerk(samples: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """(series_id, ts_us, jerk) of a stream of SAMPLES: each series keeps its last sample as state.
 
-    Samples of a micro-batch are taken in time order; one older than the state's is late and left out. A series idle
-    for ``idle_ms`` of processing time starts anew, with a jerk of 0, like its first sample.
+    Samples of a micro-batch are taken in time order; one older than the state's is late and left out. With
+    ``idle_ms`` a series idle for so long in processing time is forgotten and starts anew with a jerk of 0; such a
+    query has a batch to run at any time, so it doesn't end by itself.
     """
     columns(samples, "series_id", "ts_us", "x", "y", "z")
-    positive(idle_ms=idle_ms)
+    if idle_ms is not None:
+        positive(idle_ms=idle_ms)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -38,11 +40,13 @@ def stream_jerk(samples: DataFrame, idle_ms: int = 600_000) -> DataFrame:
             end = rows.iloc[-1]
             state.update((int(end["ts_us"]), float(end["x"]), float(end["y"]), float(end["z"])))
             yield pd.DataFrame({"series_id": key[0], "ts_us": rows["ts_us"], "jerk": change})
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
 
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     narrow = samples.select("series_id", "ts_us", "x", "y", "z")
     return narrow.groupBy("series_id").applyInPandasWithState(
-        run, "series_id long, ts_us long, jerk double", "ts_us long, x double, y double, z double", "append", GroupStateTimeout.ProcessingTimeTimeout
+        run, "series_id long, ts_us long, jerk double", "ts_us long, x double, y double, z double", "append", timeout
     )
 
 
