@@ -3,7 +3,8 @@
 Both models count the same things: words and word pairs of every document (background) and of the target documents.
 The vocabulary is shared and open: a word, and a pair, is its hash's slot in tables of fixed size, so no word is left
 out at any corpus size and the model that executors load has a proven bound. A pair's probability backs off to its
-word's with a Dirichlet prior, in both models alike. The score of a document is its mean loss per word under the
+word's with a Dirichlet prior, in both models alike, and the background's counts are scaled to the target's size, so
+that neither gains by having seen more. The score of a document is its mean loss per word under the
 background less that under the target: higher is closer to the target.
 """
 
@@ -80,6 +81,9 @@ class Models:
         self.shape = shape
         table = np.zeros((2, shape.words + shape.pairs), dtype=np.float32)
         table[:, slot] = both
+        mass = table[:, : shape.words].sum(axis=1, dtype=float)
+        if mass[1]:
+            table[0] *= mass[1] / mass[0]  # matched: the background's counts as in a sample of the target's size
         self.word, self.pair = table[:, : shape.words], table[:, shape.words :]
         total = self.word.sum(axis=1, dtype=float, keepdims=True)
         self.alone = ((self.word + 1.0) / (total + shape.words)).astype(np.float32)
