@@ -86,12 +86,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", prefi
                     text.alias("rule"),
                     F.col("verdict").alias("verdict"),
                 )
-            ).alias("best")
+            ).alias("__best")
         )
     )
     return (
         parsed.join(best, ["host", "path"], "left")
-        .withColumns({"rule": F.col("best.rule"), "verdict": F.coalesce("best.verdict", F.lit(default))})
-        .drop("best")
+        .withColumns({"rule": F.col("__best.rule"), "verdict": F.coalesce("__best.verdict", F.lit(default))})
+        .drop("__best")
         .select(*parsed.columns, "rule", "verdict")
     )
