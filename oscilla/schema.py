@@ -26,14 +26,14 @@ FEATURES = _fields(
 
 
 class FrequencyRanges:
-    """Bands in Hz: 9 to 25 breaths and 30 to 120 beats a minute."""
+    """Bands at rest in Hz: breaths (9 to 25 a minute) and beats (30 to 120 a minute)."""
 
-    BREATHING = (9 / 60, 25 / 60)
-    HEART = (30 / 60, 120 / 60)
+    BR_RESTING_MIN, BR_RESTING_MAX = 0.15, 25 / 60
+    HR_RESTING_MIN, HR_RESTING_MAX = 0.5, 2.0
+    BREATHING, HEART = (BR_RESTING_MIN, BR_RESTING_MAX), (HR_RESTING_MIN, HR_RESTING_MAX)
 
 
 class SamplingRates:
     """Usual device rates in Hz."""
 
-    ACCELEROMETER = 50.0
-    HIGH = 100.0
+    ACCELEROMETER_STANDARD, ACCELEROMETER_HIGH = 50.0, 100.0
