@@ -23,6 +23,16 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def steady_scans(spark: SparkSession) -> None:
+    """Pin how files are split, which otherwise follows the number of cores there are at the moment.
+
+    ``monotonically_increasing_id`` then numbers the rows of a table alike in every scan of a session, whatever
+    executors come and go. A value that is set already stays.
+    """
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage is cut, lost executors lose nothing.
 

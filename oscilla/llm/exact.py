@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import durable, text_of
+from .common import durable, steady_scans, text_of
 
 #: A chunk ends after one of these word ends, LEAST characters at the earliest and MOST at the latest.
 LEAST, MOST = 512, 4096
@@ -34,6 +34,7 @@ def chunks(text: Column) -> Column:
 
 def exact_rows(docs: DataFrame, text: str = "text", digest: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """As :func:`exact_groups`, and ``row``: the row's ``monotonically_increasing_id`` in ``docs``."""
+    steady_scans(docs.sparkSession)
     body = docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, text_of
+from .common import durable, steady_scans, text_of
 
 SHINGLE, REGISTERS, ROWS, SIMILARITY = 5, 128, 4, 0.8
 #: Signatures may fall this far below the threshold: over four standard deviations of the estimate.
@@ -245,6 +245,7 @@ def _labelled(ids: DataFrame, labels: DataFrame) -> DataFrame:
 
 def near_rows(docs: DataFrame, text: str = "text") -> DataFrame:
     """As :func:`near_classes`, and ``row``: the row's ``monotonically_increasing_id`` in ``docs``."""
+    steady_scans(docs.sparkSession)
     body = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_of(text).alias("text")
     )
