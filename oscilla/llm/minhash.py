@@ -7,7 +7,7 @@ texts agree in a register with the probability of their weighted Jaccard similar
 
 Texts that are word for word the same are folded first. Texts that share a band are candidates: each is verified
 against its bucket's pivot, and where a bucket still holds several classes, its members are compared in tiles of
-bounded size until no unverified pair that the signatures allow joins two classes. Pairs within one class need no
+bounded size, first the likeliest pairs of any two classes, then every pair left between two that the signatures allow. Pairs within one class need no
 test: the result is the class.
 """
 
@@ -270,8 +270,9 @@ def near_rows(docs: DataFrame, text: str = "text") -> DataFrame:
 
     # The pivot's text comes last in the join, hence read once for all its members.
     links = verified(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels, tried, limit = components(links), pairs, 8
-    while True:
+    labels, tried = components(links), pairs
+    # First the likeliest pairs of any two classes, which joins most that belong together; then all that are left.
+    for limit in (16, 1 << 40):
         current = _labelled(members.select("band", "id", "n"), labels)
         mixed = current.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("band")
         inside = current.join(mixed, "band").join(texts.select("id", "signature"), "id")
@@ -292,13 +293,11 @@ def near_rows(docs: DataFrame, text: str = "text") -> DataFrame:
         )
         found = durable(spread.groupBy("band", "i", "j").applyInArrow(_tiles(limit, SIMILARITY - SLACK), "a long, b long, more boolean"))
         fresh = durable(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            if found.where("more").isEmpty():
-                break
-        else:
-            links = durable(links.union(verified(fresh)))
-            labels, tried = components(links), durable(tried.union(fresh))
-        limit *= 8
+        links = durable(links.union(verified(fresh)))
+        labels = components(links)
+        if found.where("more").isEmpty():
+            break
+        tried = durable(tried.union(fresh))
     classes = _labelled(texts.select("id", "words"), labels).select("words", "label")
     rows = durable(signed.select("row", "doc_id", "words").join(classes, "words"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")
