@@ -60,6 +60,16 @@ def cleanup() -> None:
 atexit.register(cleanup)
 
 
+#: Rows of one long that are broadcast: some 32 MB as a hash relation.
+BROADCAST_ROWS = 2_000_000
+
+
+def light(ids: DataFrame) -> DataFrame:
+    """``ids``, one long a row, for a join with texts: broadcast after a check of its size, else left to a shuffle."""
+    ids = durable(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def text_of(col: str = "text"):
     """The text column with null as the empty string."""
     return F.coalesce(F.col(col), F.lit(""))

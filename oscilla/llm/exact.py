@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import durable, steady_scans, text_of
+from .common import durable, light, steady_scans, text_of
 
 #: A chunk ends after one of these word ends, LEAST characters at the earliest and MOST at the latest.
 LEAST, MOST = 512, 4096
@@ -96,4 +96,4 @@ def exact_groups(docs: DataFrame, text: str = "text", digest: Callable[[Column],
 def drop_exact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` (stable when read twice, as a table is) without the rows that :func:`exact_groups` drops."""
     dropped = exact_rows(docs, text).where(~F.col("kept")).select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(dropped, "__row", "left_anti").drop("__row")
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(light(dropped), "__row", "left_anti").drop("__row")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, steady_scans, text_of
+from .common import durable, light, steady_scans, text_of
 
 SHINGLE, REGISTERS, ROWS, SIMILARITY = 5, 128, 4, 0.8
 #: Signatures may fall this far below the threshold: over four standard deviations of the estimate.
@@ -259,7 +259,7 @@ def near_rows(docs: DataFrame, text: str = "text") -> DataFrame:
     members = durable(entries.join(buckets, "band"))
     pairs = durable(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
     wanted = members.select(F.col("id").alias("row")).distinct()
-    bodies = durable(body.select("row", "text").join(wanted, "row", "left_semi"))
+    bodies = durable(body.select("row", "text").join(light(wanted), "row", "left_semi"))
 
     def verified(found: DataFrame) -> DataFrame:
         first = bodies.select(F.col("row").alias("a"), F.col("text").alias("text_a"))
@@ -320,4 +320,4 @@ def near_classes(docs: DataFrame, text: str = "text") -> DataFrame:
 def drop_near(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` (stable when read twice, as a table is) with one row of each class."""
     dropped = near_rows(docs, text).where(~F.col("kept")).select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(dropped, "__row", "left_anti").drop("__row")
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(light(dropped), "__row", "left_anti").drop("__row")
