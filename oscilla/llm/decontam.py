@@ -68,7 +68,7 @@ _SLOT_HASH = np.array([0, _hash("<NAME>"), _hash("<NUM>"), 0, _hash("<UNIT>")],
 def template(text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Template token hashes, each one's kind, and the tokens. A capital is a name's only inside a sentence."""
     tokens = _TOKEN.findall(text)
-    if len(_CODES) > 500_000:
+    if len(_CODES) > 200_000:
         _CODES.clear()
     codes = np.fromiter(map(_CODES.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
     kind = (codes & _U(7)).astype(np.int64)

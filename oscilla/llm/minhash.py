@@ -50,7 +50,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
-    if len(_HASHES) > 500_000:
+    if len(_HASHES) > 200_000:
         _HASHES.clear()
     return np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
 

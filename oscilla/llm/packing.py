@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import durable, text_of
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Entries of either cache of an encoder: some 150 MB each at most for words of usual length.
-_CACHED = 700_000
+#: Entries of either cache of an encoder: some 70 MB each at most for words of usual length.
+_CACHED = 300_000
 #: Letters and signs of which the pre-tokenizer's classes are those of ``re``, and which normalise to themselves but for case.
 _PLAIN = re.compile(r"[\x21-\x7E\xA1-\xB1\xB4-\xB8\xBA\xBB\xBF-\u012F\u0131-\u024F]*")
 _PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
