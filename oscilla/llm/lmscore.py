@@ -1,11 +1,12 @@
 """Cross-entropy difference scoring with a target and a background bigram model over one shared vocabulary.
 
 Both models count the same things: words and word pairs of every document (background) and of the target documents.
-The vocabulary is shared and open: a word, and a pair, is its hash's slot in tables of fixed size, so no word is left
-out at any corpus size and the model that executors load has a proven bound. A pair's probability backs off to its
-word's with a Dirichlet prior, in both models alike, and the background's counts are scaled to the target's size, so
-that neither gains by having seen more. The score of a document is its mean loss per word under the
-background less that under the target: higher is closer to the target.
+The vocabulary is shared and open: every word and every pair is counted under its own key (a word's 64-bit hash, a
+pair's two), in distributed tables that grow with the corpus, so no rare pair reads what strangers have counted. A
+document's pairs are shuffled once, to where their pair is counted, and come back as summed losses. A pair's
+probability backs off to its word's with a Dirichlet prior, in both models alike, and the background's counts are
+scaled to the target's size, so that neither gains by having seen more. The score of a document is its mean loss per
+word under the background less that under the target: higher is closer to the target.
 """
 
 from __future__ import annotations
@@ -16,88 +17,143 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, text_of
+from .common import BROADCAST_ROWS, durable, light, text_of
 from .minhash import mix, word_hashes
 
 _WORD = re.compile(r"\w+|[^\w\s]")
 _U = np.uint64
+#: The most frequent words have short codes, which makes the shuffle smaller and changes no result.
+SHORT = 1 << 20
+#: In place of the word before a text's first, and of the second word in the row that brings a document's id.
+_START, _HEAD = -1, -2
+_SLICE = 256
 
 
 @dataclass(frozen=True)
 class Shape:
-    """Slots of the tables (powers of two) and the strength of both priors. 2**21 pairs make a model of 20 MB."""
+    """Words the uniform prior reckons with (or those there are, if more), pairs a task counts, strength of both priors."""
 
     words: int = 1 << 18
     pairs: int = 1 << 21
     strength: float = 20.0
 
 
-def slots(text: str, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
-    """The slot of each word, and of each word with the one before it (the first: with the text's start)."""
-    hashes = word_hashes(_WORD.findall(text.lower()))
-    before = np.empty_like(hashes)
-    before[:1] = 0
-    before[1:] = hashes[:-1]
-    pair = mix(before * _U(0x9E3779B97F4A7C15) + hashes)
-    return (hashes % _U(shape.words)).astype(np.int64), (pair % _U(shape.pairs)).astype(np.int64)
+class _Codes(dict):
+    """Word to its code: its place among the SHORT most frequent hashes, else the hash itself above them."""
 
+    def __init__(self, short: np.ndarray):
+        super().__init__()
+        self.order = np.argsort(short)
+        self.short = short[self.order]
 
-def counts(docs: DataFrame, target: DataFrame, shape: Shape = Shape(), text: str = "text") -> DataFrame:
-    """(slot, seen, wanted): occurrences over all rows and over rows whose doc_id is in ``target``; pairs after words.
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        codes = ((hashes >> _U(1)) | _U(1 << 62)).astype(np.int64)
+        if len(self.short):
+            at = np.searchsorted(self.short, hashes)
+            at[at == len(self.short)] = 0
+            codes = np.where(self.short[at] == hashes, self.order[at], codes)
+        return codes
+
+    def __missing__(self, word: str) -> int:
+        value = self[word] = int(self.of(word_hashes([word]))[0])
+        return value
+
+    def text(self, text: str) -> np.ndarray:
+        if len(self) > 200_000:
+            self.clear()
+        words = _WORD.findall(text.lower())
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+
+
+def _marked(docs: DataFrame, target: DataFrame, text: str) -> DataFrame:
+    """row, doc_id, text, wanted of every row; the row's number is its own."""
+    wanted = light(target.select("doc_id").where("doc_id is not null").distinct()).withColumn("wanted", F.lit(True))
+    body = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), text_of(text).alias("text"))
+    return body.join(wanted, "doc_id", "left").select(
+        "row", F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("wanted", F.lit(False)).alias("wanted")
+    )
 
-    Every task adds up its own rows before the shuffle, which then sums slots, never documents.
-    """
-    size = shape.words + shape.pairs
-    wanted = target.select("doc_id").where("doc_id is not null").distinct().withColumn("wanted", F.lit(True))
-    marked = docs.select("doc_id", text_of(text).alias("text")).join(wanted.hint("shuffle_hash"), "doc_id", "left")
+
+def _words(marked: DataFrame) -> DataFrame:
+    """(hash, seen, wanted) of every word. Tasks add up a million words at a time before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((2, size), dtype=np.int64)
+        held: list[tuple[np.ndarray, bool]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            hashes = np.concatenate([h for h, _ in held])
+            chosen = np.repeat([w for _, w in held], [len(h) for h, _ in held])
+            key, at, seen = np.unique(hashes, return_inverse=True, return_counts=True)
+            wanted = np.bincount(at, weights=chosen, minlength=len(key)).astype(np.int64)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(seen.astype(np.int64)), pa.array(wanted)], names=["hash", "seen", "wanted"])
+
         for batch in batches:
             for body, chosen in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                word, pair = slots(body.as_py(), shape)
-                for part in (word, pair + shape.words):
-                    np.add.at(totals[0], part, 1)
-                    if chosen:
-                        np.add.at(totals[1], part, 1)
-        where = np.flatnonzero(totals[0])
-        for k in range(0, len(where), 100_000):
-            at = where[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at.astype(np.int32)), pa.array(totals[0, at]), pa.array(totals[1, at])], names=["slot", "seen", "wanted"]
-            )
-
-    partial = marked.select("text", "wanted").mapInArrow(run, "slot int, seen long, wanted long")
-    return partial.groupBy("slot").agg(F.sum("seen").alias("seen"), F.sum("wanted").alias("wanted"))
-
-
-class Models:
-    """Both models' tables: counts of words and pairs, row 0 the background's and row 1 the target's."""
-
-    def __init__(self, slot: np.ndarray, both: np.ndarray, shape: Shape):
-        self.shape = shape
-        table = np.zeros((2, shape.words + shape.pairs), dtype=np.float32)
-        table[:, slot] = both
-        mass = table[:, : shape.words].sum(axis=1, dtype=float)
-        if mass[1]:
-            table[0] *= mass[1] / mass[0]  # matched: the background's counts as in a sample of the target's size
-        self.word, self.pair = table[:, : shape.words], table[:, shape.words :]
-        total = self.word.sum(axis=1, dtype=float, keepdims=True)
-        self.alone = ((self.word + 1.0) / (total + shape.words)).astype(np.float32)
-
-    def losses(self, text: str) -> tuple[int, float, float]:
-        """Words, and their mean loss in nats under the background and the target; of no words 0."""
-        word, pair = slots(text, self.shape)
-        if not len(word):
-            return 0, 0.0, 0.0
-        before = np.concatenate([np.zeros((2, 1), dtype=np.float32), self.word[:, word[:-1]]], axis=1)
-        prior = self.shape.strength * self.alone[:, word]
-        seen = np.minimum(self.pair[:, pair], before)  # a pair isn't more frequent than its first word: slots may be shared
-        loss = -np.log((seen + prior) / (before + self.shape.strength)).mean(axis=1, dtype=float)
-        return len(word), float(loss[0]), float(loss[1])
+                held.append((word_hashes(_WORD.findall(body.as_py().lower())), chosen))
+                size += len(held[-1][0])
+                if size > 1 << 20:
+                    yield flush()
+                    size = 0
+        if size:
+            yield flush()
+
+    partial = marked.select("text", "wanted").mapInArrow(run, "hash long, seen long, wanted long")
+    return partial.groupBy("hash").agg(F.sum("seen").alias("seen"), F.sum("wanted").alias("wanted"))
+
+
+def _pairs(marked: DataFrame, short: np.ndarray) -> DataFrame:
+    """(row, a, b, n, wanted): each pair of each document once, with its number; and for each document a row of its id."""
+    shared = marked.sparkSession.sparkContext.broadcast(short)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = _Codes(shared.value)
+        for whole in batches:
+            for at in range(0, whole.num_rows, _SLICE):
+                batch = whole.slice(at, _SLICE)
+                row = batch.column(0).to_numpy()
+                chosen = batch.column(3).to_numpy(zero_copy_only=False)
+                texts = [codes.text(t.as_py()) for t in batch.column(2)]
+                b = np.concatenate(texts)
+                which = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+                a = np.r_[_START, b[:-1]][: len(b)]
+                a[np.r_[True, which[1:] != which[:-1]][: len(b)]] = _START
+                key = mix(mix(a.view(_U) * _U(0x9E3779B97F4A7C15) + which.astype(_U)) + b.view(_U))
+                _, first, n = np.unique(key, return_index=True, return_counts=True)
+                order = np.argsort(first)
+                first, n = first[order], n[order]
+                head = np.full(len(row), _HEAD)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.r_[row[which[first]], row]),
+                        pa.concat_arrays([pa.array(a[first]), batch.column(1)]),
+                        pa.array(np.r_[b[first], head]),
+                        pa.array(np.r_[n, np.zeros(len(row), dtype=n.dtype)].astype(np.int32)),
+                        pa.array(np.r_[chosen[which[first]], chosen].astype(bool)),
+                    ],
+                    names=["row", "a", "b", "n", "wanted"],
+                )
+
+    return marked.select("row", "doc_id", "text", "wanted").mapInArrow(run, "row long, a long, b long, n int, wanted boolean")
+
+
+def counts(docs: DataFrame, target: DataFrame, shape: Shape = Shape(), text: str = "text") -> DataFrame:
+    """(a, b, seen, wanted): occurrences of each word (a null) and pair over all rows and over rows in ``target``."""
+    marked = _marked(docs, target, text)
+    codes = _Codes(np.zeros(0, dtype=np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code = codes.of(batch.column(0).to_numpy().view(_U))
+            yield pa.RecordBatch.from_arrays([pa.array(code), batch.column(1), batch.column(2)], names=["b", "seen", "wanted"])
+
+    words = _words(marked).mapInArrow(run, "b long, seen long, wanted long").select(F.lit(None).cast("long").alias("a"), "b", "seen", "wanted")
+    pairs = _pairs(marked, codes.short).where(F.col("n") > 0)
+    return words.unionByName(pairs.groupBy("a", "b").agg(F.sum("n").alias("seen"), F.sum(F.when(F.col("wanted"), F.col("n")).otherwise(0)).alias("wanted")))
 
 
 def score(docs: DataFrame, target: DataFrame, shape: Shape = Shape(), text: str = "text") -> DataFrame:
@@ -106,20 +162,48 @@ def score(docs: DataFrame, target: DataFrame, shape: Shape = Shape(), text: str
     target: doc_id of the documents the target model is made of. Null text counts as empty; a text without words has
     zeros; repeated rows count and are scored each; without target documents that model is uniform.
     """
-    gathered = durable(counts(docs, target, shape, text)).toArrow()
-    slot = gathered.column("slot").to_numpy()
-    both = np.stack([gathered.column(c).to_numpy().astype(np.float32) for c in ("seen", "wanted")])
-    models = docs.sparkSession.sparkContext.broadcast(Models(slot, both, shape))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = models.value
+    marked = _marked(docs, target, text)
+    words = durable(_words(marked))
+    distinct, seen, wanted = words.agg(F.count("*"), F.coalesce(F.sum("seen"), F.lit(0)), F.coalesce(F.sum("wanted"), F.lit(0))).first()
+    frequent = words.orderBy(F.desc("seen"), "hash").limit(SHORT).select("hash").toArrow().column(0).to_numpy().view(_U)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = _Codes(shared.value)
         for batch in batches:
-            n, background, wanted = zip(*[found.losses(t.as_py()) for t in batch.column(1)], strict=True) if batch.num_rows else ((), (), ())
-            difference = np.array(background, dtype=float) - np.array(wanted, dtype=float)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(background, pa.float64()), pa.array(wanted, pa.float64()), pa.array(difference)],
-                names=["doc_id", "n_words", "background_loss", "target_loss", "score"],
-            )
-
-    body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(text).alias("text"))
-    return body.mapInArrow(run, "doc_id long, n_words long, background_loss double, target_loss double, score double")
+            code = codes.of(batch.column(0).to_numpy().view(_U))
+            yield pa.RecordBatch.from_arrays([pa.array(code), batch.column(1), batch.column(2)], names=["code", "seen", "wanted"])
+
+    # A word that occurs once needs no row: where it isn't found it was seen once, and wanted if its document is.
+    again = words.where("seen > 1")
+    few = again.count() <= BROADCAST_ROWS
+    again = again.mapInArrow(coded, "code long, seen long, wanted long")
+    scale = wanted / seen if wanted else 1.0  # matched: the background's counts as in a sample of the target's size
+    vocabulary = max(shape.words, distinct)
+    sizes = (seen * scale, float(wanted))
+
+    def of(name: str) -> DataFrame:
+        table = again.select(F.col("code").alias(name), (F.col("seen") * scale).alias(f"{name}0"), F.col("wanted").cast("double").alias(f"{name}1"))
+        return F.broadcast(table) if few else table
+
+    pairs = _pairs(marked, frequent).repartition(max(1, -(-seen // shape.pairs)), "a", "b")
+    group = Window.partitionBy("a", "b")
+    number = F.when(F.col("wanted"), F.col("n")).otherwise(0)
+    pairs = pairs.select("row", "a", "b", "n", "wanted", (F.sum("n").over(group) * scale).alias("p0"), F.sum(number).over(group).cast("double").alias("p1"))
+    pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+
+    def loss(m: int) -> Column:
+        once = F.when(F.col("wanted"), 1.0).otherwise(0.0) if m else F.lit(scale)
+        before, word = (F.coalesce(F.col(f"{x}{m}"), once) for x in "ab")
+        before = F.when(F.col("a") == _START, 0.0).otherwise(before)
+        prior = shape.strength * (word + 1.0) / (sizes[m] + vocabulary)
+        return -F.log((F.least(f"p{m}", before) + prior) / (before + shape.strength)) * F.col("n")
+
+    head = F.col("b") == _HEAD
+    sums = (F.sum(F.when(head, 0.0).otherwise(loss(m))) for m in (0, 1))
+    total = pairs.groupBy("row").agg(
+        F.max(F.when(head, F.col("a"))).alias("doc_id"), F.sum("n").alias("n_words"), *(s.alias(f"s{m}") for m, s in enumerate(sums))
+    )
+    mean = (F.when(F.col("n_words") > 0, F.col(f"s{m}") / F.col("n_words")).otherwise(0.0) for m in (0, 1))
+    found = total.select("doc_id", "n_words", *(x.alias(name) for x, name in zip(mean, ("background_loss", "target_loss"), strict=True)))
+    return found.withColumn("score", F.col("background_loss") - F.col("target_loss"))

@@ -60,3 +60,13 @@ def test_counts_cover_every_row(spark, small):
 def test_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert lmscore.score(none, none.select("doc_id")).count() == 0
+
+
+def test_every_pair_is_counted_apart_however_many_there_are(spark):
+    """400 documents of 40 words of their own: with more pairs than slots or tasks hold, losses are as of dictionaries."""
+    rows = [(d, " ".join(f"w{(d * 7919 + k * k * 31) % 5000}" for k in range(40))) for d in range(400)]
+    docs, wanted = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(d,) for d in range(0, 400, 3)], "doc_id long")
+    shape = lmscore.Shape(words=SHAPE.words, pairs=1 << 8, strength=SHAPE.strength)
+    got = sorted([(r["doc_id"], r["n_words"], r["background_loss"], r["target_loss"]) for r in lmscore.score(docs, wanted, shape).collect()], key=str)
+    for a, b in zip(got, brute(rows, set(range(0, 400, 3))), strict=True):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], rel=1e-6)
