@@ -1,9 +1,9 @@
 """License scanning by conditional compression.
 
 A block of text that quotes a license compresses to almost nothing when the license's own words are the dictionary.
-Blocks with a word that every template has one of are compressed alone and with each template as a zstandard raw
-dictionary; templates are ranked by the bytes they save, and a candidate wins only if its exact wording, aligned word
-by word with the block, differs in few words. The differences are part of the result.
+Blocks around a word that every template has one of, across line breaks, are aligned word by word with
+each template, and what lies before and after a span that differs in few words once more. The lines of a span are
+compressed alone and with the template as a zstandard raw dictionary; a candidate that saves no bytes is none. The differences are part of the result.
 """
 
 from __future__ import annotations
@@ -44,9 +44,10 @@ TEMPLATES: tuple[tuple[str, str, str], ...] = (
     ("proprietary", "notice", "Copyright (c) <holder>. All rights reserved."),
 )
 _TRIGGER = ("licen", "copyright", "permission", "permitted", "redistribut", "free software", "released under", "all rights reserved")
+_TRIGGERS = re.compile("|".join(_TRIGGER))
 _TOKEN = re.compile(r"\w+(?:[.-]\w+)*|<\w+>")
 _SPACE = re.compile(r"\s+")
-#: Share of a template's words that may differ, words one slot may take, and characters around a trigger in a long line.
+#: Share of a template's words that may differ, words one slot may take, and characters around a trigger.
 DIFFERENT, SLOT, AROUND = 0.15, 8, 1024
 
 
@@ -72,36 +73,35 @@ def align(template: list[str], block: list[str]) -> tuple[int, int, int, list[st
     """
     n, m = len(template), len(block)
     cost = np.zeros((n + 1, m + 1), dtype=np.int32)
-    back = np.zeros((n + 1, m + 1), dtype=np.int32)
+    places = np.arange(m + 1)
+    words = np.array(block, dtype=object)
     for i in range(1, n + 1):
-        slot = template[i - 1][0] == "<"
-        cost[i, 0], back[i, 0] = cost[i - 1, 0] + (not slot), -1
-        for j in range(1, m + 1):
-            if slot:
-                k = min(range(min(SLOT, j) + 1), key=lambda k: (cost[i - 1, j - k], -k))
-                cost[i, j], back[i, j] = cost[i - 1, j - k], 10 + k
-                continue
-            same = template[i - 1] == block[j - 1]
-            options = ((cost[i - 1, j - 1] + 2 * (not same), 1), (cost[i - 1, j] + 1, -1), (cost[i, j - 1] + 1, -2))
-            cost[i, j], back[i, j] = min(options)
+        above = cost[i - 1]
+        if template[i - 1][0] == "<":
+            cost[i] = above
+            for k in range(1, min(SLOT, m) + 1):
+                cost[i, k:] = np.minimum(cost[i, k:], above[:-k])
+            continue
+        row = above + 1
+        if m:
+            row[1:] = np.minimum(row[1:], above[:-1] + 2 * (words != template[i - 1]))
+        cost[i] = np.minimum.accumulate(row - places) + places
     end = int(np.argmin(cost[n]))
     i, j, missing, added = n, end, [], []
     while i:
-        step = int(back[i, j])
-        if step >= 10:
-            i, j = i - 1, j - (step - 10)
-        elif step == 1:
+        if template[i - 1][0] == "<":
+            i, j = i - 1, j - min(range(min(SLOT, j) + 1), key=lambda k: (cost[i - 1, j - k], -k))
+        elif j and cost[i, j] == cost[i, j - 1] + 1:
+            added.append(block[j - 1])
+            j -= 1
+        elif cost[i, j] == cost[i - 1, j] + 1:
+            missing.append(template[i - 1])
+            i -= 1
+        else:
             if template[i - 1] != block[j - 1]:
                 missing.append(template[i - 1])
                 added.append(block[j - 1])
             i, j = i - 1, j - 1
-        elif step == -1:
-            if template[i - 1][0] != "<":
-                missing.append(template[i - 1])
-            i -= 1
-        else:
-            added.append(block[j - 1])
-            j -= 1
     return int(cost[n, end]), j, end, missing[::-1], added[::-1]
 
 
@@ -119,21 +119,46 @@ class Scanner:
         ]
 
     def _blocks(self, text: str, low: str) -> Iterator[tuple[int, str]]:
-        """Lines that hold a trigger; of long lines, what is around their triggers."""
-        spans = set()
-        for trigger in _TRIGGER:
-            at = low.find(trigger)
-            while at >= 0:
-                start = text.rfind("\n", 0, at) + 1
-                end = text.find("\n", at)
-                end = len(text) if end < 0 else end
-                if end - start > 2 * AROUND:
-                    start, end = max(start, at - AROUND), min(end, at + AROUND)
-                spans.add((start, end))
-                at = low.find(trigger, at + 1)
-        for start, end in sorted(spans):
+        """What is within AROUND characters of a trigger, whatever lines it is on; what overlaps is one block."""
+        places = sorted({m.start() for m in _TRIGGERS.finditer(low)})
+        spans: list[list[int]] = []
+        for at in places:
+            start, end = max(0, at - AROUND), min(len(text), at + AROUND)
+            if spans and start <= spans[-1][1]:
+                spans[-1][1] = end
+            else:
+                spans.append([start, end])
+        for start, end in spans:
+            # Blocks of bounded size that share more than any template's length: the alignment is quadratic.
+            while end - start > 4 * AROUND:
+                yield start, text[start : start + 4 * AROUND]
+                start += 2 * AROUND
             yield start, text[start:end]
 
+    def _spans(self, k: int, plain: list[str]) -> Iterator[tuple[int, int, int, list[str], list[str]]]:
+        """Every span of a block's words near enough to a template: the nearest, then those before and after it."""
+        template = self.templates[k][2]
+        literal = [w for w in template if w[0] != "<"]
+        most = 2 * DIFFERENT * len(literal)
+        left = [(0, len(plain))]
+        while left:
+            lo, hi = left.pop()
+            own = set(plain[lo:hi])
+            if sum(w not in own for w in literal) > most:  # each costs one at least
+                continue
+            cost, a, b, missing, added = align(template, plain[lo:hi])
+            if b > a and cost <= most:
+                yield cost, lo + a, lo + b, missing, added
+                left += [(lo, lo + a), (lo + b, hi)]
+
+    def _saved(self, k: int, text: str, start: int, end: int) -> tuple[int, int]:
+        """Bytes a template saves of the lines of a span (of long ones, what is around it), and their size without it."""
+        first, last = text.rfind("\n", 0, start) + 1, text.find("\n", end)
+        last = len(text) if last < 0 else last
+        raw = _SPACE.sub(" ", text[max(first, start - AROUND) : min(last, end + AROUND)]).lower().encode("utf-8", "replace")
+        alone = len(self.alone.compress(raw))
+        return alone - len(self.compressors[k].compress(raw)), alone
+
     def scan(self, text: str) -> list[Found]:
         """Licenses of ``text`` by place; of overlapping findings the one that differs least, then saves most."""
         low = text.lower()
@@ -143,20 +168,13 @@ class Scanner:
             return []
         found: list[tuple[int, float, Found]] = []
         for start, block in self._blocks(text, low):
-            raw = _SPACE.sub(" ", block).lower().encode("utf-8", "replace")
-            alone = len(self.alone.compress(raw))
-            saved = [alone - len(c.compress(raw)) for c in self.compressors]
             words = _words(block)
-            plain = [w for w, _, _ in words]
-            for k in sorted(range(len(saved)), key=lambda k: -saved[k]):
-                name, kind, template = self.templates[k]
-                if saved[k] < 4:
-                    break
-                cost, a, b, missing, added = align(template, plain)
-                literal = sum(w[0] != "<" for w in template)
-                if b > a and cost <= 2 * DIFFERENT * literal:
+            for k, (name, kind, _) in enumerate(self.templates):
+                for cost, a, b, missing, added in self._spans(k, [w for w, _, _ in words]):
                     place = (start + words[a][1], start + words[b - 1][2])
-                    found.append((cost, -saved[k] / alone, Found(name, kind, *place, saved[k] / alone, tuple(missing), tuple(added))))
+                    saved, alone = self._saved(k, text, *place)
+                    if saved >= 4:
+                        found.append((cost, -saved / alone, Found(name, kind, *place, saved / alone, tuple(missing), tuple(added))))
         chosen: list[Found] = []
         for _, _, f in sorted(found, key=lambda x: (x[0], x[1], x[2].start, x[2].license)):
             if all(f.end <= c.start or f.start >= c.end for c in chosen):

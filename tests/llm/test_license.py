@@ -60,3 +60,23 @@ def test_nulls_repeats_and_nothing(spark):
     docs = spark.createDataFrame([(1, None), (2, "Licensed under CC BY 4.0."), (2, "Licensed under CC BY 4.0."), (None, "Licensed under CC BY 4.0.")], "doc_id long, text string")
     assert sorted([r["doc_id"] for r in license.find_licenses(docs).collect()], key=str) == [2, 2, None]
     assert license.find_licenses(docs.limit(0)).count() == 0
+
+
+CANONICAL = {
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction",
+    "Apache-2.0": " * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at\n *\n *     http://www.apache.org/licenses/LICENSE-2.0",
+    "GPL": "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n    the Free Software Foundation, either version 3 of the License, or",
+    "BSD": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above",
+}
+
+
+@pytest.mark.parametrize("name", CANONICAL)
+def test_wording_wrapped_over_lines(scanner, name):
+    (found,) = scanner.scan(f"Some prose.\n\n{CANONICAL[name]}\n\nAnd prose after.")
+    assert found.license == name and not found.missing and not found.added
+
+
+def test_every_notice_of_a_line_is_a_row(scanner):
+    text = "Licensed under CC BY 4.0. A word between. Licensed under CC BY 4.0. " * 100
+    assert [f.license for f in scanner.scan(text)] == ["CC-BY-4.0"] * 200
