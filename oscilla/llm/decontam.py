@@ -1,7 +1,8 @@
 """Benchmark decontamination by canonical templates.
 
 Numbers, names and the units after numbers become typed slots, so that a question with other figures and other people
-still has the same template. Windows of five template tokens of every document meet those of the benchmark by hash;
+still has the same template. A capitalised word may be a name or not, whatever precedes it, so it is looked up both as
+itself and as a name's slot, on both sides. Windows of five template tokens of every document meet those of the benchmark by hash;
 where at least 0.8 of an item's windows occur, the template tokens themselves and the slots are compared: within a
 document one slot value of the item must stand for one value throughout.
 
@@ -34,6 +35,13 @@ _UNITS = frozenset(
     "percent mile miles foot feet inch inches pound pounds ounce ounces litre litres liter liters meter meters metre metres gram grams "
     "kilometer kilometers kilometre kilometres dollar dollars euro euros cent cents degree degrees hz khz mhz ghz kb mb gb tb w kw v".split()
 )
+#: Words that are no names though a sentence may start with them.
+_PLAIN = frozenset(
+    "a an the this that these those there here what why how who whom whose which when where whether is are was were am be been do does did "
+    "has have had can could will would shall should may might must if then than so as and or but nor not no yes in on at of for to from by "
+    "with without into over under after before between about i you he she it we they me him her us them my your his its our their each every "
+    "all some any many much more most few both either neither one two suppose find given let consider while since because until during".split()
+)
 _WORD, _NAME, _NUMBER, _END, _UNIT = range(5)
 _U = np.uint64
 _SLOTS = {_NAME: "<NAME>", _NUMBER: "<NUM>", _UNIT: "<UNIT>"}
@@ -56,7 +64,7 @@ class _Codes(dict):
         elif low in _UNITS:
             kind = _UNIT
         else:
-            kind = _NAME if token[0] != low[:1] and token[1:] == token[1:].lower() else _WORD
+            kind = _NAME if low not in _PLAIN and token[0] != low[:1] and token[1:] == token[1:].lower() else _WORD
         value = self[token] = _hash(low) | kind
         return value
 
@@ -66,16 +74,15 @@ _SLOT_HASH = np.array([0, _hash("<NAME>"), _hash("<NUM>"), 0, _hash("<UNIT>")],
 
 
 def template(text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Template token hashes, each one's kind, and the tokens. A capital is a name's only inside a sentence."""
+    """Template token hashes, each one's kind, and the tokens. What may be a name has its word's hash."""
     tokens = _TOKEN.findall(text)
     if len(_CODES) > 200_000:
         _CODES.clear()
     codes = np.fromiter(map(_CODES.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
     kind = (codes & _U(7)).astype(np.int64)
     before = np.r_[_END, kind[:-1]] if len(kind) else kind
-    kind[(kind == _NAME) & (before == _END)] = _WORD
     kind[(kind == _UNIT) & (before != _NUMBER)] = _WORD
-    hashes = np.where((kind == _WORD) | (kind == _END), codes & _U(_MASK), _SLOT_HASH[kind])
+    hashes = np.where((kind == _NUMBER) | (kind == _UNIT), _SLOT_HASH[kind], codes & _U(_MASK))
     inner = np.flatnonzero(kind != _END)
     return hashes[inner], kind[inner], [tokens[i] for i in inner] if len(inner) < len(tokens) else tokens
 
@@ -88,6 +95,29 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     return total
 
 
+def readings(hashes: np.ndarray, kind: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of every window, with each of what may be names in it as a word and as a name."""
+    own = windows(hashes, size)
+    places, found = [np.arange(len(own))], [own]
+    name = kind == _NAME
+    if len(own) and name.any():
+        many = np.convolve(name, np.ones(size, dtype=int), "valid")
+        most = int(many.max())
+        for chosen in range(1, 1 << size):
+            offsets = [k for k in range(size) if chosen >> k & 1]
+            if len(offsets) > most:
+                continue
+            at = np.flatnonzero(np.logical_and.reduce([name[k : k + len(own)] for k in offsets]))
+            if not len(at):
+                continue
+            total = np.full(len(at), size, dtype=np.uint64)
+            for k in range(size):
+                total = (total ^ (total >> _U(29))) * _U(0x9E3779B97F4A7C15) + (_SLOT_HASH[_NAME] if k in offsets else hashes[at + k])
+            places.append(at)
+            found.append(total)
+    return np.concatenate(places), np.concatenate(found)
+
+
 class Block:
     """Some items of the benchmark, ready to meet documents."""
 
@@ -102,24 +132,26 @@ class Block:
             literal = np.convolve(kind == _WORD, np.ones(size, dtype=int), "valid")
             usable = np.flatnonzero(literal >= min(LITERALS, literal.max()))
             self.items[number] = (hashes, kind, tokens, size, len(usable))
-            for q in usable:
-                self.at[size][int(windows(hashes, size)[q])].append((number, int(q)))
+            wanted = set(usable.tolist())
+            for q, key in zip(*(x.tolist() for x in readings(hashes, kind, size)), strict=True):
+                if q in wanted:
+                    self.at[size][key].append((number, q))
         self.names = [item for item, _ in items]
         self.sorted = {size: np.sort(np.fromiter(at, dtype=np.uint64, count=len(at))) for size, at in self.at.items()}
 
     def leaks(self, text: str) -> list[tuple[int, float, int]]:
         """(item, covered share, first token's place) of every item that ``text`` contains."""
         hashes, kind, tokens = template(text)
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        hits: dict[int, set[tuple[int, int]]] = defaultdict(set)
         for size, known in self.sorted.items():
-            own = windows(hashes, size)
+            where, own = readings(hashes, kind, size)
             place = np.searchsorted(known, own)
             place[place == len(known)] = 0
-            for p in np.flatnonzero(known[place] == own):
-                for number, q in self.at[size][int(own[p])]:
-                    hits[number].append((int(p), q))
+            for k in np.flatnonzero(known[place] == own):
+                for number, q in self.at[size][int(own[k])]:
+                    hits[number].add((int(where[k]), q))
         found = []
-        for number, pairs in hits.items():
+        for number, pairs in ((n, sorted(h)) for n, h in hits.items()):
             theirs, their_kind, their_tokens, size, usable = self.items[number]
             if len({q for _, q in pairs}) < COVERAGE * usable:
                 continue
@@ -134,15 +166,18 @@ class Block:
         """Pairs of windows whose tokens are truly the same and whose slots agree with what each value mostly stands for."""
         confirmed, bindings = [], defaultdict(Counter)
         for p, q in pairs:
-            slots, same = [], True
+            slots, same, literal, words = [], True, 0, 0
             for k in range(size):
-                kind = theirs[1][q + k]
-                if kind != own[1][p + k] or (kind == _WORD and own[2][p + k].lower() != theirs[2][q + k].lower()):
+                kind, other = int(theirs[1][q + k]), int(own[1][p + k])
+                word, stands = theirs[2][q + k].lower(), own[2][p + k].lower()
+                literal += kind in (_WORD, _NAME) and word == stands
+                words += kind in (_WORD, _NAME)
+                if kind != other and {kind, other} != {_WORD, _NAME} or _WORD in (kind, other) and word != stands:
                     same = False
                     break
                 if kind != _WORD:
-                    slots.append(((int(kind), theirs[2][q + k].lower()), own[2][p + k].lower()))
-            if same:
+                    slots.append(((kind, word), stands))
+            if same and literal >= min(LITERALS, words):
                 confirmed.append((p, q, slots))
                 for value, stands in slots:
                     bindings[value][stands] += 1

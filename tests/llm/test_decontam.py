@@ -75,3 +75,14 @@ def test_short_items_nulls_and_repeats(spark):
     assert got == [(1, 1), (1, 1), (None, None)]
     assert decontam.find_leaks(docs, items.limit(0)).count() == 0
     assert decontam.find_leaks(docs.limit(0), items).count() == 0
+
+
+def test_names_at_the_start_of_a_sentence_and_capitals_after_anything():
+    item = "Tom has 12 apples. Ann has 5 pears. How many apples do Tom and Ann have"
+    assert found(item.replace("Tom", "Bob").replace("12", "48").replace("Ann", "Eve").replace("5", "7"), [(1, item)])
+    short = "What is the tallest mountain on Earth"
+    named = "Berlin lies on which river"
+    for before in ("", "Q: ", "Question: ", "so, ", "(", "x. "):
+        assert found(before + short, [(1, short)]) == {1: 1.0}
+        assert found(before + named, [(1, named)]) == {1: 1.0}
+    assert not found("Anna Berta Carla Dora Emma Frida", [(1, "Great Gatsby Summary Analysis Notes")])
