@@ -3,8 +3,8 @@
 Numbers, names and the units after numbers become typed slots, so that a question with other figures and other people
 still has the same template. A capitalised word may be a name or not, whatever precedes it, so it is looked up both as
 itself and as a name's slot, on both sides. Windows of five template tokens of every document meet those of the benchmark by hash;
-where at least 0.8 of an item's windows occur, the template tokens themselves and the slots are compared: within a
-document one slot value of the item must stand for one value throughout.
+where at least 0.8 of an item's windows occur, the template tokens themselves and the slots are compared: within an
+occurrence one slot value of the item must stand for one value throughout. A document leaks if any occurrence does.
 
 The benchmark is a stated query set: it is taken in blocks of bounded size, each of which meets all documents in one
 pass without a shuffle, so neither a hot source nor a passage that many documents share gathers anywhere.
@@ -155,16 +155,38 @@ class Block:
             theirs, their_kind, their_tokens, size, usable = self.items[number]
             if len({q for _, q in pairs}) < COVERAGE * usable:
                 continue
-            consistent = self._consistent(pairs, size, (hashes, kind, tokens), (theirs, their_kind, their_tokens))
-            covered = len({q for _, q in consistent}) / usable
-            if covered >= COVERAGE:
-                found.append((self.names[number], covered, min(p for p, _ in consistent)))
+            confirmed = self._confirmed(pairs, size, (hashes, kind, tokens), (theirs, their_kind, their_tokens))
+            free = {q for _, q, slots in confirmed if not slots}
+            best, first = 0, 0
+            for hits_of in self._occurrences(confirmed):
+                consistent = self._consistent(hits_of)
+                covered = len(free.union(q for _, q in consistent))
+                if covered > best:
+                    best, first = covered, min(p for p, _ in consistent or hits_of)
+            if best >= COVERAGE * usable:
+                found.append((self.names[number], best / usable, first))
         return found
 
     @staticmethod
-    def _consistent(pairs, size, own, theirs):
-        """Pairs of windows whose tokens are truly the same and whose slots agree with what each value mostly stands for."""
-        confirmed, bindings = [], defaultdict(Counter)
+    def _occurrences(confirmed):
+        """The document's hits as a whole; those of each diagonal; and each run in which the item's windows go forward."""
+        diagonals, places = defaultdict(list), defaultdict(list)
+        for hit in confirmed:
+            diagonals[hit[0] - hit[1]].append(hit)
+            places[hit[0]].append(hit)
+        runs, last = [], -1
+        for p in sorted(places):
+            following = [q for _, q, _ in places[p] if q > last]
+            if not runs or not following:
+                runs.append([])
+            last = min(following or [q for _, q, _ in places[p]])
+            runs[-1] += places[p]
+        return [confirmed, *diagonals.values(), *runs] if confirmed else []
+
+    @staticmethod
+    def _confirmed(pairs, size, own, theirs):
+        """Pairs of windows whose tokens are truly the same, with what each slot value of the item stands for."""
+        confirmed = []
         for p, q in pairs:
             slots, same, literal, words = [], True, 0, 0
             for k in range(size):
@@ -179,10 +201,17 @@ class Block:
                     slots.append(((kind, word), stands))
             if same and literal >= min(LITERALS, words):
                 confirmed.append((p, q, slots))
-                for value, stands in slots:
-                    bindings[value][stands] += 1
+        return confirmed
+
+    @staticmethod
+    def _consistent(hits):
+        """Those of an occurrence's hits whose slots agree with what each value mostly stands for in it."""
+        bindings = defaultdict(Counter)
+        for _, _, slots in hits:
+            for value, stands in slots:
+                bindings[value][stands] += 1
         chosen = {value: max(stands.items(), key=lambda x: (x[1], x[0]))[0] for value, stands in bindings.items()}
-        return [(p, q) for p, q, slots in confirmed if all(chosen[v] == s for v, s in slots)]
+        return [(p, q) for p, q, slots in hits if all(chosen[v] == s for v, s in slots)]
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[int, str]]]:

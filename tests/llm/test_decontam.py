@@ -86,3 +86,14 @@ def test_names_at_the_start_of_a_sentence_and_capitals_after_anything():
         assert found(before + short, [(1, short)]) == {1: 1.0}
         assert found(before + named, [(1, named)]) == {1: 1.0}
     assert not found("Anna Berta Carla Dora Emma Frida", [(1, "Great Gatsby Summary Analysis Notes")])
+
+
+def test_an_item_and_variants_of_it_in_one_document():
+    item = "A farmer sells 12 eggs for 30 cents and then buys 5 hens for 80 cents from his old friend"
+    variants = [item.replace("12", str(n)).replace("30", str(n + 1)).replace(" 5 ", f" {n + 2} ").replace("80", str(n + 3)) for n in (48, 15, 7, 20)]
+    for text in (item + " " + variants[0], ". ".join([*variants, item]), ". ".join([variants[0], item, *variants[1:]])):
+        assert found(text, [(1, item)]) == {1: 1.0}
+    longer = item.replace("and then", "and shortly then")
+    assert found(". ".join([variants[1], longer]), [(1, item)])
+    mixed = item.replace("for 80 cents from his old friend", "for 80 cents from his old friend, 12 and 12 again")
+    assert not found(item[:30] + " and so on", [(1, mixed)])
