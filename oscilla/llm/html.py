@@ -31,8 +31,11 @@ _MARKUP = re.compile(
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[a-z]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-_RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea xmp noembed noframes".split())
+_INLINE = frozenset("math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mstyle mspace semantics a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_RAW = frozenset("script style noscript template iframe object svg canvas audio video textarea noembed noframes".split())
+#: Their text is no markup: without a closing tag they go on to the end of the page, as in browsers.
+_OPAQUE = frozenset("script style".split())
+_FOREIGN = frozenset("svg math".split())
 _CLOSES = {
     "p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
 }
@@ -62,6 +65,8 @@ def leaves(page: str) -> list[Leaf]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     found: list[Leaf] = []
     runs: list[str] = []
+    closers: dict[str, re.Pattern[str]] = {}
+    unclosed: set[str] = set()
     linked = links = at = 0
 
     def flush() -> None:
@@ -107,10 +112,21 @@ def leaves(page: str) -> list[Leaf]:
             continue
         if tag == "br":
             runs.append(" ")
-        if tag in _RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+        if tag in _FOREIGN and m[3].endswith("/"):
             continue
+        if tag in _RAW or tag == "xmp":
+            if tag not in closers:
+                closers[tag] = re.compile(rf"</{tag}(?![^\s/>])[^>]*>", re.I)
+            # No closing tag after one place: none after a later one either.
+            end = None if tag in unclosed else closers[tag].search(page, at)
+            if end is None:
+                unclosed.add(tag)
+            if tag == "xmp":
+                runs.append(page[at : end.start() if end else len(page)])
+                flush()
+            if end or tag in _OPAQUE or tag == "xmp":
+                at = end.end() if end else len(page)
+                continue
         if tag in _VOID or m[3].endswith("/") and tag not in _SCOPES and tag != "p":
             continue
         ends = _CLOSES.get(tag, set()) | ({"p"} if tag in _ENDS_P else set())

@@ -81,3 +81,13 @@ def test_nulls_repeats_and_nothing(spark):
     got = sorted([tuple(r) for r in html.extract(pages).collect()], key=str)
     assert got == sorted([(1, "u", "", 0), (1, "u", "", 0), (None, None, "Some words of a story, told at length.", 38)], key=str)
     assert html.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("tag", ["<svg class='i' />", "<math/>", "<object data='x'>", "<audio src=x>", "<canvas>", "<template>"])
+def test_elements_without_a_closing_tag_hide_nothing(tag):
+    assert [b.text for b in html.leaves(f"<p>one</p>{tag}<p>two</p><p>three</p>")] == ["one", "two", "three"]
+
+
+def test_formulas_and_listings_are_text():
+    page = "<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><xmp>a <b> c</xmp><svg><text>no</text></svg><p>end</p>"
+    assert [b.text for b in html.leaves(page)] == ["so x=2 holds", "a <b> c", "end"]
