@@ -56,13 +56,14 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
     found = [tag]
     for m in _ATTRIBUTE.finditer(attributes):
         value = m[2] or m[3] or m[4] or ""
-        found += [f"{m[1][0].lower()}:{n}" for n in _NAME.findall(value.lower())[:8]]
+        found += [f"{m[1][0].lower()}:{n}" for n in _NAME.findall(value.lower())]
     return tuple(found)
 
 
 def leaves(page: str) -> list[Leaf]:
     """The page's blocks in order: text between tags that aren't inline, references decoded, white space one space."""
     stack: list[tuple[str, tuple[str, ...]]] = []
+    above: list[tuple[str, ...]] = [()]  # the distinct names of all elements open before each; one tuple while none is new
     found: list[Leaf] = []
     runs: list[str] = []
     closers: dict[str, re.Pattern[str]] = {}
@@ -74,8 +75,8 @@ def leaves(page: str) -> list[Leaf]:
         if runs:
             text = " ".join("".join(runs).split())
             if text:
-                path = [n for _, names in stack[-8:] for n in names]
-                found.append(Leaf(text, tuple(path), min(linked, len(text))))
+                path = above[-1] + (stack[-2][1] if len(stack) > 1 else ()) + (stack[-1][1] if stack else ())
+                found.append(Leaf(text, path, min(linked, len(text))))
             runs.clear()
         linked = 0
 
@@ -91,6 +92,7 @@ def leaves(page: str) -> list[Leaf]:
         nonlocal links
         while len(stack) > upto:
             links -= stack.pop()[0] == "a"
+            above.pop()
 
     while at < len(page):
         m = _MARKUP.search(page, at)
@@ -138,6 +140,7 @@ def leaves(page: str) -> list[Leaf]:
                 if stack[k][0] in _SCOPES and not (tag == "tr" and stack[k][0] in ("td", "th")):
                     break
         stack.append((tag, _names(tag, m[3])))
+        above.append(above[-1] + new if (new := tuple(dict.fromkeys(n for n in stack[-1][1] if n not in above[-1]))) else above[-1])
         links += tag == "a"
     flush()
     return found
@@ -153,9 +156,9 @@ def vectors(blocks: list[Leaf]) -> list[tuple[list[int], list[float]]]:
     found = []
     n = len(blocks)
     for k, b in enumerate(blocks):
-        path = {_slot(x, PATH_SLOTS) for x in b.path} | ({_slot("^" + ">".join(b.path[-2:]), PATH_SLOTS)} if len(b.path) < 40 else set())
+        path = {_slot(x, PATH_SLOTS) for x in b.path} | {_slot("^" + ">".join(b.path[-2:]), PATH_SLOTS)}
         words = b.text.split()
-        some = {PATH_SLOTS + xxhash.xxh3_64_intdigest(w.lower().encode("utf-8", "replace")) % WORD_SLOTS for w in words[:40]}
+        some = {PATH_SLOTS + xxhash.xxh3_64_intdigest(w.lower().encode("utf-8", "replace")) % WORD_SLOTS for w in words}
         marks = sum(b.text.count(c) for c in ".!?")
         base = PATH_SLOTS + WORD_SLOTS
         measures = [

@@ -91,3 +91,20 @@ def test_elements_without_a_closing_tag_hide_nothing(tag):
 def test_formulas_and_listings_are_text():
     page = "<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><xmp>a <b> c</xmp><svg><text>no</text></svg><p>end</p>"
     assert [b.text for b in html.leaves(page)] == ["so x=2 holds", "a <b> c", "end"]
+
+
+@pytest.mark.parametrize("around", ["<footer>", "<aside>", "<section id='comments'>", "<div class='cookie'>"])
+def test_text_nested_deeply_keeps_its_ancestors(labeller, around):
+    prose = "The reon of thest hearing ateded the leco in a raon that isle and then or ment. " * 3
+    junk = f"{around}{'<div>' * 20}<p>{prose}</p>{'</div>' * 20}</{around[1:].split()[0].rstrip('>')}>"
+    page = f"<html><body><article><h1>Anea reesti</h1>{f'<p>{prose}</p>' * 4}</article>{junk}</body></html>"
+    found = html.leaves(page)
+    assert html._names(around[1:].split()[0].rstrip(">"), around)[-1] in found[-1].path
+    assert html.main_texts([page], labeller)[0].count("reon of thest") == 12
+
+
+def test_every_word_and_name_of_a_block_counts():
+    long = " ".join(f"w{k}" for k in range(60))
+    first, second = (html.vectors(html.leaves(f"<p>{long} {end}</p>"))[0][0] for end in ("alpha", "omega"))
+    assert first != second
+    assert "c:cookie" in html.leaves("<div class='a b c d e f g h i cookie'>x</div>")[0].path
