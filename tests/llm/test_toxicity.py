@@ -95,3 +95,56 @@ def test_nulls_repeats_and_nothing(spark):
     assert len(rows) == 4 and all(r["score"] < 0.01 for r in rows)
     assert toxicity.drop_toxic(docs, found).count() == 4
     assert toxicity.score(docs.limit(0), found).count() == 0
+
+
+@pytest.mark.parametrize("rows", [100, 323, 2000])
+def test_held_out_accuracy_by_way_of_fit(spark, rows):
+    """Fewer toxic rows than there are, as many, and more: the sample's ratio of classes decides nothing."""
+    base = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    scorer = toxicity.Scorer(toxicity.fit(docs, labels, rows=rows))
+    held = docs.join(labels, "doc_id").where(toxicity.held_out() & F.col("toxic").isin(0, 1)).select("text", "toxic").collect()
+    hit = [scorer.score(r["text"] or "") >= 0.3 for r in held if r["toxic"] == 1]
+    wrong = [scorer.score(r["text"] or "") >= 0.3 for r in held if r["toxic"] == 0]
+    assert sum(hit) > (0.55 if rows == 100 else 0.75) * len(hit) and sum(wrong) < 0.05 * len(wrong)
+
+
+def test_as_many_ordinary_rows_as_toxic_ones():
+    r = random.Random(8)
+    scorer = toxicity.Scorer(toxicity.train([text(r, True) for _ in range(100)], [text(r, False) for _ in range(100)]))
+    bad, good = ([scorer.score(text(r, k)) >= 0.3 for _ in range(100)] for k in (True, False))
+    assert sum(bad) >= 90 and sum(good) <= 10
+
+
+def test_without_telling_passages_the_dictionaries_are_those_of_the_texts():
+    r = random.Random(9)
+    found = toxicity.train([text(r, False) for _ in range(12)], [text(r, False) for _ in range(40)])
+    assert found.toxic.strip(b"\0 ") != found.ordinary.strip(b"\0 ")
+    assert 0 <= toxicity.Scorer(found).score(text(r, False)) <= 1
+
+
+def test_windows_for_training_come_from_all_texts():
+    texts = [f"text{k} " * 100 for k in range(50)]
+    some = b"".join(toxicity._some_windows(texts, 60))
+    assert all(f"text{k} ".encode() in some for k in range(50))
+
+
+def test_short_and_very_long_words_are_evidence():
+    r = random.Random(10)
+
+    def one(bad):
+        return f"{text(r, False)} {r.choice(['zqx', 'w' + 'aeiou' * 30]) if bad else 'and'} {text(r, False)}"
+
+    scorer = toxicity.Scorer(toxicity.train([one(True) for _ in range(120)], [one(False) for _ in range(400)]))
+    assert sum(scorer.score(one(True)) >= 0.3 for _ in range(50)) >= 40  # the compressor may step over so short a match
+    assert sum(scorer.score(one(False)) >= 0.3 for _ in range(50)) <= 3
+
+
+def test_ties_and_clashing_columns(spark, model):
+    r = random.Random(11)
+    one = text(r, True)
+    docs = spark.createDataFrame([(1, one, 0.0, 1, b"x")] * 3, "doc_id long, text string, score double, toxic int, __row binary")
+    scores = {x["score"] for x in toxicity.score(docs, model).collect()}
+    assert len(scores) == 1
+    at = scores.pop()
+    assert toxicity.drop_toxic(docs, model, at).count() == 0 and toxicity.drop_toxic(docs, model, at + 1e-9).collect() == docs.collect()
