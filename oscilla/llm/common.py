@@ -70,6 +70,14 @@ def light(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as make it none of ``df``'s columns, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_of(col: str = "text"):
     """The text column with null as the empty string."""
     return F.coalesce(F.col(col), F.lit(""))

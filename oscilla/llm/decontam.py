@@ -6,8 +6,9 @@ itself and as a name's slot, on both sides. Windows of five template tokens of e
 where at least 0.8 of an item's windows occur, the template tokens themselves and the slots are compared: within an
 occurrence one slot value of the item must stand for one value throughout. A document leaks if any occurrence does.
 
-The benchmark is a stated query set: it is taken in blocks of bounded size, each of which meets all documents in one
-pass without a shuffle, so neither a hot source nor a passage that many documents share gathers anywhere.
+Up to BLOCK characters of benchmark become one index that is broadcast: the hash-join then needs no shuffle, so neither
+a hot source nor a passage that many documents share gathers anywhere. A larger benchmark's windows are a table of
+their own, and both sides' windows meet in a shuffled hash-join; only the pairs that cover enough see the texts again.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import durable, fresh, light, text_of
 
 WINDOW, COVERAGE = 5, 0.8
-#: Characters of benchmark text in one block.
+#: Characters of benchmark text that are broadcast as one index: some 100 MB in a worker at most.
 BLOCK = 4_000_000
+#: Template tokens that are looked up at once.
+SLICE = 1 << 17
 #: A window says something only with so many words that aren't slots.
 LITERALS = 2
 _TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+|[.!?\n]")
@@ -53,7 +56,7 @@ def _hash(word: str) -> int:
 
 
 class _Codes(dict):
-    """Token to the hash of its lower-case form, with what it may be in the lowest three bits."""
+    """Token to the hash of its case-folded form, with what it may be in the lowest three bits."""
 
     def __missing__(self, token: str) -> int:
         low = token.lower()
@@ -65,26 +68,52 @@ class _Codes(dict):
             kind = _UNIT
         else:
             kind = _NAME if low not in _PLAIN and token[0] != low[:1] and token[1:] == token[1:].lower() else _WORD
-        value = self[token] = _hash(low) | kind
+        value = self[token] = _hash(token.casefold()) | kind
         return value
 
 
-_CODES = _Codes()
+class _Parts(dict):
+    """What stands between two blanks to the codes of its tokens; no token holds a blank."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.codes = _Codes()
+
+    def __missing__(self, part: str) -> bytes:
+        tokens = _TOKEN.findall(part)
+        found = np.fromiter(map(self.codes.__getitem__, tokens), dtype=np.uint64, count=len(tokens)).tobytes()
+        if len(self.codes) > 100_000:
+            self.codes.clear()
+        if len(self) < 300_000:
+            self[part] = found
+        return found
+
+    def of(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, text.split(" "))), dtype=np.uint64)
+
+
+_PARTS = _Parts()
 _SLOT_HASH = np.array([0, _hash("<NAME>"), _hash("<NUM>"), 0, _hash("<UNIT>")], dtype=np.uint64)
 
 
-def template(text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Template token hashes, each one's kind, and the tokens. What may be a name has its word's hash."""
-    tokens = _TOKEN.findall(text)
-    if len(_CODES) > 200_000:
-        _CODES.clear()
-    codes = np.fromiter(map(_CODES.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
-    kind = (codes & _U(7)).astype(np.int64)
-    before = np.r_[_END, kind[:-1]] if len(kind) else kind
-    kind[(kind == _UNIT) & (before != _NUMBER)] = _WORD
+def _templates(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Template token hashes of all texts in a row, each one's kind and its text's number. Ends of sentences are none."""
+    parts = [_PARTS.of(t) for t in texts]
+    codes = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
+    which = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
+    kind = (codes & _U(7)).astype(np.int8)
+    if len(kind):
+        after = np.r_[False, (kind[:-1] == _NUMBER) & (which[1:] == which[:-1])]
+        kind[(kind == _UNIT) & ~after] = _WORD
     hashes = np.where((kind == _NUMBER) | (kind == _UNIT), _SLOT_HASH[kind], codes & _U(_MASK))
     inner = np.flatnonzero(kind != _END)
-    return hashes[inner], kind[inner], [tokens[i] for i in inner] if len(inner) < len(tokens) else tokens
+    return hashes[inner], kind[inner], which[inner]
+
+
+def template(text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Template token hashes, each one's kind, and the tokens. What may be a name has its word's hash."""
+    hashes, kind, _ = _templates([text])
+    return hashes, kind, [t for t in _TOKEN.findall(text) if t not in ".!?\n"]
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -95,27 +124,31 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     return total
 
 
-def readings(hashes: np.ndarray, kind: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def readings(hashes: np.ndarray, kind: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(place, hash) of every window, with each of what may be names in it as a word and as a name."""
     own = windows(hashes, size)
-    places, found = [np.arange(len(own))], [own]
+    yield np.arange(len(own)), own
+    if not len(own):
+        return
     name = kind == _NAME
-    if len(own) and name.any():
-        many = np.convolve(name, np.ones(size, dtype=int), "valid")
-        most = int(many.max())
-        for chosen in range(1, 1 << size):
-            offsets = [k for k in range(size) if chosen >> k & 1]
-            if len(offsets) > most:
-                continue
-            at = np.flatnonzero(np.logical_and.reduce([name[k : k + len(own)] for k in offsets]))
-            if not len(at):
-                continue
+    named = np.zeros(len(own), dtype=np.int8)
+    for k in range(size):
+        named |= name[k : k + len(own)].astype(np.int8) << k
+    some = np.flatnonzero(named)
+    named = named[some]
+    for chosen in range(1, 1 << size):
+        at = some[(named & chosen) == chosen]
+        if len(at):
             total = np.full(len(at), size, dtype=np.uint64)
             for k in range(size):
-                total = (total ^ (total >> _U(29))) * _U(0x9E3779B97F4A7C15) + (_SLOT_HASH[_NAME] if k in offsets else hashes[at + k])
-            places.append(at)
-            found.append(total)
-    return np.concatenate(places), np.concatenate(found)
+                total = (total ^ (total >> _U(29))) * _U(0x9E3779B97F4A7C15) + (_SLOT_HASH[_NAME] if chosen >> k & 1 else hashes[at + k])
+            yield at, total
+
+
+def _usable(kind: np.ndarray, size: int) -> np.ndarray:
+    """Places of an item's windows that say something."""
+    literal = np.convolve(kind == _WORD, np.ones(size, dtype=int), "valid")
+    return np.flatnonzero(literal >= min(LITERALS, literal.max()))
 
 
 class Block:
@@ -129,44 +162,81 @@ class Block:
             size = min(WINDOW, len(hashes))
             if not size:
                 continue
-            literal = np.convolve(kind == _WORD, np.ones(size, dtype=int), "valid")
-            usable = np.flatnonzero(literal >= min(LITERALS, literal.max()))
+            usable = _usable(kind, size)
             self.items[number] = (hashes, kind, tokens, size, len(usable))
             wanted = set(usable.tolist())
-            for q, key in zip(*(x.tolist() for x in readings(hashes, kind, size)), strict=True):
-                if q in wanted:
-                    self.at[size][key].append((number, q))
+            for places, keys in readings(hashes, kind, size):
+                for q, key in zip(places.tolist(), keys.tolist(), strict=True):
+                    if q in wanted:
+                        self.at[size][key].append((number, q))
         self.names = [item for item, _ in items]
         self.sorted = {size: np.sort(np.fromiter(at, dtype=np.uint64, count=len(at))) for size, at in self.at.items()}
+        # A bit for each key's last bits: most windows need no search.
+        self.bits = {size: max(12, min(26, (16 * len(known)).bit_length())) for size, known in self.sorted.items()}
+        self.maybe = {size: np.zeros(1 << bits, dtype=bool) for size, bits in self.bits.items()}
+        for size, known in self.sorted.items():
+            self.maybe[size][(known & _U((1 << self.bits[size]) - 1)).astype(np.int64)] = True
 
-    def leaks(self, text: str) -> list[tuple[int, float, int]]:
-        """(item, covered share, first token's place) of every item that ``text`` contains."""
-        hashes, kind, tokens = template(text)
-        hits: dict[int, set[tuple[int, int]]] = defaultdict(set)
+    def _hits(self, texts: list[str]) -> dict[int, dict[int, set[tuple[int, int]]]]:
+        """Of each text that shares windows with an item, the pairs of places, by the item's number."""
+        hashes, kind, which = _templates(texts)
+        first = np.searchsorted(which, np.arange(len(texts)))
+        hits: dict[int, dict[int, set[tuple[int, int]]]] = defaultdict(lambda: defaultdict(set))
         for size, known in self.sorted.items():
-            where, own = readings(hashes, kind, size)
-            place = np.searchsorted(known, own)
-            place[place == len(known)] = 0
-            for k in np.flatnonzero(known[place] == own):
-                for number, q in self.at[size][int(own[k])]:
-                    hits[number].add((int(where[k]), q))
-        found = []
-        for number, pairs in ((n, sorted(h)) for n, h in hits.items()):
-            theirs, their_kind, their_tokens, size, usable = self.items[number]
-            if len({q for _, q in pairs}) < COVERAGE * usable:
-                continue
-            confirmed = self._confirmed(pairs, size, (hashes, kind, tokens), (theirs, their_kind, their_tokens))
-            free = {q for _, q, slots in confirmed if not slots}
-            best, first = 0, 0
-            for hits_of in self._occurrences(confirmed):
-                consistent = self._consistent(hits_of)
-                covered = len(free.union(q for _, q in consistent))
-                if covered > best:
-                    best, first = covered, min(p for p, _ in consistent or hits_of)
-            if best >= COVERAGE * usable:
-                found.append((self.names[number], best / usable, first))
+            last = _U((1 << self.bits[size]) - 1)
+            for start in range(0, len(hashes), SLICE):
+                end = start + SLICE + size - 1
+                for where, own in readings(hashes[start:end], kind[start:end], size):
+                    some = np.flatnonzero(self.maybe[size][(own & last).astype(np.int64)])
+                    if not len(some):
+                        continue
+                    place = np.searchsorted(known, own[some])
+                    place[place == len(known)] = 0
+                    for k in some[known[place] == own[some]]:
+                        p = start + int(where[k])
+                        text = int(which[p])
+                        if which[p + size - 1] == text:
+                            for number, q in self.at[size][int(own[k])]:
+                                hits[text][number].add((p - int(first[text]), q))
+        return hits
+
+    def leaks_of(self, texts: list[str]) -> list[list[tuple[int, float, int]]]:
+        """For each text (item, covered share, first token's place) of every item that it contains."""
+        found: list[list[tuple[int, float, int]]] = [[] for _ in texts]
+        for text, hits in sorted(self._hits(texts).items()):
+            own = None
+            for number, pairs in sorted(hits.items()):
+                theirs, their_kind, their_tokens, size, usable = self.items[number]
+                if len({q for _, q in pairs}) < COVERAGE * usable:
+                    continue
+                own = own or template(texts[text])
+                confirmed = self._confirmed(sorted(pairs), size, own, (theirs, their_kind, their_tokens))
+                free = {q for _, q, slots in confirmed if not slots}
+                best, first = 0, 0
+                for hits_of in self._occurrences(confirmed):
+                    consistent = self._consistent(hits_of)
+                    covered = len(free.union(q for _, q in consistent))
+                    if covered > best:
+                        best, first = covered, min(p for p, _ in consistent or hits_of)
+                if best >= COVERAGE * usable:
+                    found[text].append((self.names[number], best / usable, first))
         return found
 
+    def leaks(self, text: str) -> list[tuple[int, float, int]]:
+        return self.leaks_of([text])[0]
+
+    def batch(self, texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, float, int]]]]:
+        """(row, leaks) of every text of a column; a million characters are looked up at once, or one text."""
+        rows, size, start = [], 0, 0
+        for t in texts:
+            rows.append(t.as_py() or "")
+            size += len(rows[-1])
+            if size > 1 << 20:
+                yield from enumerate(self.leaks_of(rows), start)
+                start += len(rows)
+                rows, size = [], 0
+        yield from enumerate(self.leaks_of(rows), start)
+
     @staticmethod
     def _occurrences(confirmed):
         """The document's hits as a whole; those of each diagonal; and each run in which the item's windows go forward."""
@@ -191,7 +261,7 @@ class Block:
             slots, same, literal, words = [], True, 0, 0
             for k in range(size):
                 kind, other = int(theirs[1][q + k]), int(own[1][p + k])
-                word, stands = theirs[2][q + k].lower(), own[2][p + k].lower()
+                word, stands = theirs[2][q + k].casefold(), own[2][p + k].casefold()
                 literal += kind in (_WORD, _NAME) and word == stands
                 words += kind in (_WORD, _NAME)
                 if kind != other and {kind, other} != {_WORD, _NAME} or _WORD in (kind, other) and word != stands:
@@ -214,17 +284,81 @@ class Block:
         return [(p, q) for p, q, slots in hits if all(chosen[v] == s for v, s in slots)]
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[int, str]]]:
-    """Items with text, in blocks of at most BLOCK characters (or one item), never the whole benchmark at once."""
-    block, size = [], 0
-    for row in benchmark.select(F.col(item).cast("long").alias("i"), F.col(text).alias("t")).where("t is not null").toLocalIterator():
-        if block and size + len(row["t"]) > BLOCK:
-            yield block
-            block, size = [], 0
-        block.append((row["i"], row["t"]))
-        size += len(row["t"])
-    if block:
-        yield block
+_LEAK = "item_id long, coverage double, first_token long"
+
+
+def _shared(benchmark: DataFrame, item: str, text: str):
+    """The whole benchmark as a broadcast index, where it has no more than BLOCK characters; else None."""
+    items = benchmark.select(F.col(item).cast("long").alias("i"), F.col(text).alias("t")).where("t is not null")
+    # An item counts as a hundred characters at least.
+    if (items.agg(F.sum(F.length("t") + 100)).first()[0] or 0) > BLOCK:
+        return None
+    rows = [(r["i"], r["t"]) for r in items.collect()]
+    return benchmark.sparkSession.sparkContext.broadcast(sorted(rows, key=lambda r: (r[0] is None, r[0], r[1])))
+
+
+def _keyed(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """(row, text) to (row, key) of every window of every size in ``sizes``."""
+    for batch in batches:
+        for row, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            hashes, kind, _ = _templates([body.as_py()])
+            for size in sizes:
+                for start in range(0, len(hashes), SLICE):
+                    end = start + SLICE + size - 1
+                    for _, keys in readings(hashes[start:end], kind[start:end], size):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), row)), pa.array(keys.view(np.int64))], names=["row", "key"])
+
+
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(number, text) to (number, q, key, usable, size) of every usable window."""
+    for batch in batches:
+        for number, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            hashes, kind, _ = template(body.as_py())
+            size = min(WINDOW, len(hashes))
+            if not size:
+                continue
+            usable = _usable(kind, size)
+            for places, keys in readings(hashes, kind, size):
+                good = np.isin(places, usable)
+                n = int(good.sum())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, number)), pa.array(places[good]), pa.array(keys[good].view(np.int64)), pa.array(np.full(n, len(usable))), pa.array(np.full(n, size))],
+                    names=["number", "q", "key", "usable", "size"],
+                )
+
+
+def _joined(docs: DataFrame, benchmark: DataFrame, item: str, text: str) -> DataFrame:
+    """row, item_id, coverage, first_token by a hash-join of both sides' windows; ``docs``: row, text, written.
+
+    A document's equal windows are one row before the shuffle, and a pair of document and item is confirmed by its texts.
+    """
+    items = durable(benchmark.where(F.col(text).isNotNull()).select(F.monotonically_increasing_id().alias("number"), F.col(item).cast("long").alias("item_id"), F.col(text).alias("item")))
+    theirs = durable(items.select("number", "item").mapInArrow(_item_windows, "number long, q long, key long, usable long, size long"))
+    sizes = tuple(sorted(r["size"] for r in theirs.select("size").distinct().collect()))
+    own = docs.mapInArrow(lambda batches: _keyed(batches, sizes), "row long, key long")
+    # Windows that no item has go before anything is shuffled twice.
+    met = own.join(theirs.select("key").distinct(), "key", "left_semi").distinct()
+    enough = (
+        met.join(theirs, "key").groupBy("row", "number").agg(F.count_distinct("q").alias("n"), F.first("usable").alias("usable"))
+        .where(F.col("n") >= COVERAGE * F.col("usable")).select("row", "number")
+    )
+    both = enough.join(items, "number").join(docs, "row").select("row", "item_id", "item", "text")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [
+                (row, *leak)
+                for row, name, item, body in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
+                for leak in Block([(name, item)]).leaks(body)
+            ]
+            yield _table(rows, "row")
+
+    return both.mapInArrow(confirm, f"row long, {_LEAK}")
+
+
+def _table(rows: list[tuple], first: str) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=[first, "item_id", "coverage", "first_token"])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
@@ -233,40 +367,38 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", tex
     Null and empty texts on either side match nothing; an item under five tokens is one window; repeated rows are
     reported each, and so are repeated items. Columns besides doc_id, item_id and the texts are ignored.
     """
-    parts = []
-    for items in _blocks(benchmark, item, text):
-
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            block = Block(items)
-            for batch in batches:
-                rows = [
-                    (doc, *leak)
-                    for doc, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)
-                    for leak in block.leaks(body.as_py())
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64()))],
-                    names=["doc_id", "item_id", "coverage", "first_token"],
-                )
+    body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(text).alias("text"))
+    shared = _shared(benchmark, item, text)
+    if shared is None:
+        rows = durable(body.withColumn("row", F.monotonically_increasing_id()))
+        found = _joined(rows.select("row", "text"), benchmark, item, text)
+        return found.join(rows.select("row", "doc_id"), "row").select("doc_id", "item_id", "coverage", "first_token")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = Block(shared.value)
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            yield _table([(ids[k], *leak) for k, leaks in block.batch(batch.column(1)) for leak in leaks], "doc_id")
 
-        body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(text).alias("text"))
-        parts.append(body.mapInArrow(run, "doc_id long, item_id long, coverage double, first_token long"))
-    if not parts:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, coverage double, first_token long")
-    while len(parts) > 1:
-        parts = [a.unionByName(b) for a, b in zip(parts[::2], parts[1::2], strict=False)] + parts[len(parts) // 2 * 2 :]
-    return parts[0]
+    return body.mapInArrow(run, f"doc_id long, {_LEAK}")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows that contain a benchmark item; every other row as it was."""
+    """``docs`` without the rows that contain a benchmark item; every other row as it was.
+
+    Null and empty texts stay; repeated rows go or stay together; an empty table on either side changes nothing.
+    """
+    shared = _shared(benchmark, item, text)
+    if shared is None:
+        row = fresh(docs, "row")
+        rows = durable(docs.withColumn(row, F.monotonically_increasing_id()))
+        leaky = _joined(rows.select(F.col(row).alias("row"), text_of(text).alias("text")), benchmark, item, text)
+        return rows.join(light(leaky.select(F.col("row").alias(row)).distinct()), row, "left_anti").select(docs.columns)
     where = docs.columns.index(text)
-    for items in _blocks(benchmark, item, text):
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            block = Block(items)
-            for batch in batches:
-                yield batch.filter(pa.array([not block.leaks(t.as_py() or "") for t in batch.column(where)], pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = Block(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array([not leaks for _, leaks in block.batch(batch.column(where))], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)

@@ -97,3 +97,90 @@ def test_an_item_and_variants_of_it_in_one_document():
     assert found(". ".join([variants[1], longer]), [(1, item)])
     mixed = item.replace("for 80 cents from his old friend", "for 80 cents from his old friend, 12 and 12 again")
     assert not found(item[:30] + " and so on", [(1, mixed)])
+
+
+def test_every_item_of_the_table_in_any_case():
+    import pyarrow.parquet as pq
+
+    items = [(r["item_id"], r["text"]) for r in pq.read_table("/root/testdata/sf0.01/benchmark.parquet").to_pylist()]
+    block = decontam.Block(items)
+    for i, text in items:
+        for copy in (text, text.lower(), text.upper(), f"Intro words here. {text.upper()} And an end."):
+            assert i in {x for x, _, _ in block.leaks(copy)}, (i, copy)
+    lowered = ITEM.lower(), ITEM.upper()
+    assert all(found(x) for x in lowered)
+
+
+def slow_leaks(text, item):
+    """Coverage by the definition: all pairs of windows, slots compared by hand, in texts that hold one occurrence."""
+    (_, tk, tt), (_, ok, ot) = decontam.template(item), decontam.template(text)
+    size = min(5, len(tt))
+    usable = [q for q in range(len(tt) - size + 1) if sum(tk[q : q + size] == decontam._WORD) >= min(2, max(sum(tk[j : j + size] == decontam._WORD) for j in range(len(tt) - size + 1)))]
+    pairs = []
+    for q in usable:
+        for p in range(len(ot) - size + 1):
+            slots, words, same = [], 0, True
+            for a, b, ka, kb in zip(tt[q : q + size], ot[p : p + size], tk[q : q + size], ok[p : p + size], strict=True):
+                a, b = a.casefold(), b.casefold()
+                if ka == kb and ka != decontam._WORD:
+                    slots.append((a, b))
+                elif {ka, kb} <= {decontam._WORD, decontam._NAME} and a == b:
+                    slots += [(a, b)] if ka == decontam._NAME else []
+                else:
+                    same = False
+                words += a == b and ka in (decontam._WORD, decontam._NAME)
+            literals = sum(k in (decontam._WORD, decontam._NAME) for k in tk[q : q + size])
+            if same and words >= min(2, literals):
+                pairs.append((q, slots))
+    binding = {}
+    for _, slots in pairs:
+        for a, b in slots:
+            binding.setdefault(a, []).append(b)
+    chosen = {a: max(sorted(set(b), reverse=True), key=lambda x: (b.count(x), x)) for a, b in binding.items()}
+    return len({q for q, slots in pairs if all(chosen[a] == b for a, b in slots)}) / len(usable) if usable else 0.0
+
+
+def test_slot_consistency_against_brute_force():
+    r = random.Random(12)
+    names, caught = ["Ann", "Bob", "Eve", "Tom"], [0, 0]
+    for _ in range(300):
+        item = f"{r.choice(names)} sells {r.randint(2, 9)} old red pots to {r.choice(names)} and later buys {r.randint(2, 9)} new blue pots from {r.choice(names)} for {r.randint(2, 9)} euros in town"
+        words = item.split()
+        for k, w in enumerate(words):
+            if w in names and r.random() < 0.5:
+                words[k] = r.choice(names)
+            elif w.isdigit() and r.random() < 0.5:
+                words[k] = str(r.randint(2, 9))
+            elif r.random() < 0.03:
+                words[k] = "other"
+        text = " ".join(words)
+        want = slow_leaks(text, item)
+        got = found(text, [(1, item)]).get(1, 0.0)
+        assert got == (pytest.approx(want) if want >= 0.8 else 0.0)
+        caught[got > 0] += 1
+    assert min(caught) > 30
+
+
+def test_many_texts_at_once_and_very_long_ones():
+    r = random.Random(13)
+    fill = lambda n: " ".join("".join(r.choices("abcdef", k=r.randint(1, 6))) for _ in range(n))
+    texts = ["", ITEM, fill(50), f"{fill(40_000)} {OTHER} {fill(150_000)} {ITEM}", OTHER[:30], OTHER[30:], fill(3)]
+    block = decontam.Block([(7, ITEM), (8, OTHER)])
+    together = block.leaks_of(texts)
+    assert together == [block.leaks(t) for t in texts]
+    assert [{i for i, _, _ in x} for x in together] == [set(), {7}, set(), {7, 8}, set(), set(), set()]
+
+
+@pytest.mark.parametrize("block", [10**9, 50])
+def test_clashing_columns_and_slots_in_either_join(spark, monkeypatch, block):
+    monkeypatch.setattr(decontam, "BLOCK", block)
+    b = spark.createDataFrame([(7, ITEM), (8, OTHER), (8, OTHER), (None, None)], "item_id long, text string")
+    docs = spark.createDataFrame(
+        [(1, ITEM.replace("12", "17"), 5, "a"), (1, ITEM.replace("12", "17"), 5, "a"), (2, None, 6, "b"), (3, OTHER.upper(), 7, "c"), (None, "", 8, "d")],
+        "doc_id long, text string, row long, item_id string",
+    )
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs, b).collect())
+    assert got == [(1, 7), (1, 7), (3, 8), (3, 8)]
+    kept = decontam.drop_leaks(docs, b)
+    assert kept.columns == docs.columns and sorted(r["row"] for r in kept.collect()) == [6, 8]
+    assert decontam.drop_leaks(docs.limit(0), b).count() == 0
