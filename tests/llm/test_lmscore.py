@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from oscilla.llm import lmscore
+from oscilla.llm import lmscore, minhash
 
 ROWS = [(1, "the cat sat on the mat."), (2, "the cat ate"), (3, None), (4, "buy now buy now buy now"), (4, "buy now buy now buy now"), (None, "the mat"), (5, "")]
 SHAPE = lmscore.Shape(words=1 << 18, pairs=1 << 21, strength=5.0)
@@ -70,3 +70,28 @@ def test_every_pair_is_counted_apart_however_many_there_are(spark):
     got = sorted([(r["doc_id"], r["n_words"], r["background_loss"], r["target_loss"]) for r in lmscore.score(docs, wanted, shape).collect()], key=str)
     for a, b in zip(got, brute(rows, set(range(0, 400, 3))), strict=True):
         assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], rel=1e-6)
+
+
+@pytest.mark.parametrize("share", [1, 50, 1 << 14])
+@pytest.mark.parametrize("pairs", [64, 1 << 21])
+def test_common_or_not_on_one_task_or_many_the_losses_are_the_same(spark, share, pairs):
+    """Hot words and pairs, a very long text and a word of its own at a text's end, in every division of the work."""
+    words = ["the", "the", "the", "of", "of", "and", *(f"x{k}" for k in range(60))]
+    rows = [(d, " ".join(words[(d * 31 + k * k * 7 + k // 3) % len(words)] for k in range(25)) + f" own{d % 7}") for d in range(60)]
+    rows += [(100, "the of " * 3000), (101, "solo"), (102, None), (102, "the the the")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    wanted = spark.createDataFrame([(d,) for d in range(0, 120, 3)], "doc_id long")
+    docs = spark.createDataFrame(docs.collect(), "doc_id long, text string")
+    shape = lmscore.Shape(words=SHAPE.words, pairs=pairs, strength=SHAPE.strength, share=share)
+    got = sorted([(r["doc_id"], r["n_words"], r["background_loss"], r["target_loss"]) for r in lmscore.score(docs, wanted, shape).collect()], key=str)
+    for a, b in zip(got, brute(rows, set(range(0, 120, 3))), strict=True):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], rel=1e-6)
+
+
+def test_words_are_those_of_the_whole_text():
+    import numpy as np
+
+    parts = lmscore._Parts(np.zeros(0, dtype=np.uint64))
+    for text in ("", " ", "a  b", "A.b,c\nd\te f", "ΟΔΟΣ ΟΔΟΣ. x_y 1,000", "ß ÉÉ  –"):
+        want = minhash.word_hashes(lmscore._WORD.findall(text.lower())) | np.uint64(1 << 63)
+        assert parts.of(text).tolist() == want.tolist()
