@@ -13,24 +13,27 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """Folder all executors share, from ``spark.checkpoint.dir``, else the session's checkpoint folder.
+
+    A temporary one is made only where neither is set and executors are threads of this process (tests).
+    """
     sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if found:
         return found.rstrip("/")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="oscilla-"))
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="oscilla-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
-def steady_scans(spark: SparkSession) -> None:
-    """Pin how files are split, which otherwise follows the number of cores there are at the moment.
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written once with a number for each row, and that column's name, which is none of ``df``'s.
 
-    ``monotonically_increasing_id`` then numbers the rows of a table alike in every scan of a session, whatever
-    executors come and go. A value that is set already stays.
+    Whoever joins by that number reads the written one, however ``df`` itself would number its rows the next time.
     """
-    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
-        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    row = fresh(df, "row")
+    return durable(df.withColumn(row, F.monotonically_increasing_id())), row
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -45,10 +48,16 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cleanup() -> None:
-    """Delete every intermediate table this process wrote."""
-    while _WRITTEN:
-        spark, path = _WRITTEN.pop()
+def written() -> int:
+    """How many intermediate tables there are now, for :func:`cleanup`."""
+    return len(_WRITTEN)
+
+
+def cleanup(since: int = 0, keep: int = 0) -> None:
+    """Delete the intermediate tables this process wrote after the first ``since``, but for the last ``keep``."""
+    end = len(_WRITTEN) - keep
+    gone, _WRITTEN[since:end] = _WRITTEN[since:end], []
+    for spark, path in gone:
         try:
             jvm = spark.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import durable, light, steady_scans, text_of
+from .common import durable, light, numbered, text_of
 
 #: A chunk ends after one of these word ends, LEAST characters at the earliest and MOST at the latest.
 LEAST, MOST = 512, 4096
@@ -32,14 +32,9 @@ def chunks(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_CUT), F.lit(0))
 
 
-def exact_rows(docs: DataFrame, text: str = "text", digest: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
-    """As :func:`exact_groups`, and ``row``: the row's ``monotonically_increasing_id`` in ``docs``."""
-    steady_scans(docs.sparkSession)
-    body = docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.col("doc_id").cast("long").alias("doc_id"),
-        normalised(text_of(text)).alias("body"),
-    )
+def exact_rows(docs: DataFrame, row: Column, text: str = "text", digest: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    """As :func:`exact_groups`, and ``row``: a number that is each row's own."""
+    body = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), normalised(text_of(text)).alias("body"))
     rows = durable(
         body.select(
             "row",
@@ -90,10 +85,14 @@ def exact_groups(docs: DataFrame, text: str = "text", digest: Callable[[Column],
     other; of rows repeated under that doc_id one is kept. ``digest`` may be weak (chunks sharing a value are told
     apart). Other columns are ignored; an empty table gives no rows.
     """
-    return exact_rows(docs, text, digest).drop("row")
+    return exact_rows(docs, F.monotonically_increasing_id(), text, digest).drop("row")
 
 
 def drop_exact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` (stable when read twice, as a table is) without the rows that :func:`exact_groups` drops."""
-    dropped = exact_rows(docs, text).where(~F.col("kept")).select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(light(dropped), "__row", "left_anti").drop("__row")
+    """``docs`` without the rows that :func:`exact_groups` drops; of nulls, empty texts and repeats the same holds.
+
+    ``docs`` is written once with its rows numbered. Every column stays, whatever its name; an empty table stays empty.
+    """
+    rows, row = numbered(docs)
+    dropped = exact_rows(rows, F.col(row), text).where(~F.col("kept")).select(F.col("row").alias(row))
+    return rows.join(light(dropped), row, "left_anti").drop(row)

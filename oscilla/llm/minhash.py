@@ -22,14 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, light, steady_scans, text_of
+from .common import durable, light, numbered, text_of
 
 SHINGLE, REGISTERS, ROWS, SIMILARITY = 5, 128, 4, 0.8
 #: Signatures may fall this far below the threshold: over four standard deviations of the estimate.
 SLACK = 0.16
 TILE = 256
 _WORD = re.compile(r"\w+")
-_STRIPS = 32
 _U = np.uint64
 
 
@@ -243,12 +242,9 @@ def _labelled(ids: DataFrame, labels: DataFrame) -> DataFrame:
     return ids.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
-def near_rows(docs: DataFrame, text: str = "text") -> DataFrame:
-    """As :func:`near_classes`, and ``row``: the row's ``monotonically_increasing_id`` in ``docs``."""
-    steady_scans(docs.sparkSession)
-    body = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_of(text).alias("text")
-    )
+def near_rows(docs: DataFrame, row: str, text: str = "text") -> DataFrame:
+    """As :func:`near_classes`, and ``row``: the number of each row in column ``row`` of ``docs``, a written table."""
+    body = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_of(text).alias("text"))
     signed = durable(body.mapInArrow(_sign, _SIGNED))
     # Copies word for word share their signature, so any of them stands for all.
     texts = durable(
@@ -314,10 +310,14 @@ def near_classes(docs: DataFrame, text: str = "text") -> DataFrame:
     are one class; texts under five words are one shingle. A null doc_id names a class only where there is no other;
     of rows repeated under the class_id one is kept. Other columns are ignored; an empty table gives no rows.
     """
-    return near_rows(docs, text).drop("row")
+    return near_rows(*numbered(docs.select("doc_id", text)), text).drop("row")
 
 
 def drop_near(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` (stable when read twice, as a table is) with one row of each class."""
-    dropped = near_rows(docs, text).where(~F.col("kept")).select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(light(dropped), "__row", "left_anti").drop("__row")
+    """``docs`` with one row of each class of :func:`near_classes`; of nulls, empty texts and repeats the same holds.
+
+    ``docs`` is written once with its rows numbered. Every column stays, whatever its name; an empty table stays empty.
+    """
+    rows, row = numbered(docs)
+    dropped = near_rows(rows, row, text).where(~F.col("kept")).select(F.col("row").alias(row))
+    return rows.join(light(dropped), row, "left_anti").drop(row)

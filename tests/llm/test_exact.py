@@ -58,3 +58,49 @@ def test_empty_table_and_no_python(spark):
     assert exact.exact_groups(none).count() == 0
     plan = exact.exact_groups(none)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_any_internal_name_may_be_a_column(spark):
+    docs = spark.createDataFrame([(1, "a", 7, 8, 9), (2, "a", 7, 8, 9)], "doc_id long, text string, __row int, row int, _row int")
+    kept = exact.drop_exact(docs)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, "a", 7, 8, 9)]
+    assert exact.drop_exact(docs.limit(0)).columns == docs.columns
+
+
+def test_rows_that_come_in_another_order_each_time(spark):
+    docs = spark.range(200).selectExpr("id as doc_id", "concat('text ', id % 50) as text").repartition(7, F.rand())
+    kept = exact.drop_exact(docs).collect()
+    assert sorted(r["doc_id"] for r in kept) == list(range(50))
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from oscilla.llm import common
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf = {}
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session())
+
+
+def test_tables_go_when_they_are_no_longer_needed(spark):
+    from oscilla.llm import common
+
+    before = common.written()
+    paths = [common.durable(spark.range(3)).inputFiles()[0] for _ in range(3)]
+    common.cleanup(since=before, keep=1)
+    import os
+
+    assert [os.path.exists(p.removeprefix("file://")) for p in paths] == [False, False, True]
+    common.cleanup(since=before)
+    assert common.written() == before

@@ -131,3 +131,19 @@ def test_tiles_leave_out_no_pair_between_classes():
     assert {(r["a"], r["b"]) for r in found} == want and not any(r["more"] for r in found)
     some = minhash._tiles(1, 0.64)((), table).to_pylist()
     assert len(some) == 3 and all(r["more"] for r in some)
+
+
+def test_any_internal_name_may_be_a_column_and_rows_may_come_in_any_order(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(60).selectExpr("id as doc_id", "concat('one text of several words number ', id % 20) as text", "7 as __row", "8 as row", "9 as `_row`").repartition(5, F.rand())
+    kept = minhash.drop_near(docs)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(20)) and {(r["__row"], r["row"], r["_row"]) for r in rows} == {(7, 8, 9)}
+
+
+def test_very_long_texts(spark):
+    one = " ".join(f"w{k * k % 9973}" for k in range(60_000))
+    docs = spark.createDataFrame([(1, one), (2, one + " tail"), (3, one.replace("w", "v"))], "doc_id long, text string")
+    assert {(r["doc_id"], r["class_id"]) for r in minhash.near_classes(docs).collect()} == {(1, 1), (2, 1), (3, 3)}
