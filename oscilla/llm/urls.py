@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: More rules than this aren't broadcast but joined by a shuffle.
 BROADCAST_RULES = 50_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -25,18 +27,20 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def _suffixes(host: Column) -> Column:
+def _suffixes(host: Column, most: int) -> Column:
+    """The host's last labels, up to ``most`` of them."""
     labels = F.split(host, r"\.", -1)
     return F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
+        F.sequence(F.greatest(F.lit(1), F.size(labels) - most + 1), F.size(labels)),
+        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
     )
 
 
-def _directories(path: Column) -> Column:
-    """The empty prefix and every prefix that ends with a slash."""
-    parts = F.split(path, "/", -1)
+def _directories(path: Column, most: int) -> Column:
+    """The empty prefix and every prefix that ends with a slash, up to the one with ``most`` slashes."""
+    parts = F.split(path, "/", most + 2)
     return F.transform(
-        F.sequence(F.lit(0), F.size(parts) - 1),
+        F.sequence(F.lit(0), F.least(F.size(parts) - 1, F.lit(most))),
         lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))),
     )
 
@@ -62,17 +66,21 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", prefi
         .withColumn("full", _digest(F.col("rule_host"), directory))
         .withColumn("short", F.substring("full", 1, prefix_hex))
     )
-    if known.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
+    # No expression with more labels or slashes than any rule's fits one.
+    slashes = F.length(directory) - F.length(F.translate(directory, "/", ""))
+    n, labels, depth = known.agg(F.count("*"), F.max(F.size(F.split("rule_host", r"\.", -1))), F.max(slashes)).first()
+    if n <= BROADCAST_RULES:
         known = F.broadcast(known)
     expressions = (
         parsed.select("host", "path")
         .distinct()
-        .select("host", "path", F.explode(_suffixes(F.col("host"))).alias("suffix"))
-        .select("host", "path", "suffix", F.explode(_directories(F.col("path"))).alias("directory"))
+        .select("host", "path", F.explode(_suffixes(F.col("host"), labels or 1)).alias("suffix"))
+        .select("host", "path", "suffix", F.explode(_directories(F.col("path"), depth or 0)).alias("directory"))
         .select("host", "path", _digest(F.col("suffix"), F.col("directory")).alias("digest"))
         .withColumn("short", F.substring("digest", 1, prefix_hex))
     )
     text = F.concat("rule_host", "rule_path")
+    name = fresh(parsed, "best")
     best = (
         expressions.join(known, "short")
         .where((F.col("digest") == F.col("full")) & F.startswith("path", F.col("rule_path")))
@@ -86,12 +94,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", prefi
                     text.alias("rule"),
                     F.col("verdict").alias("verdict"),
                 )
-            ).alias("__best")
+            ).alias(name)
         )
     )
     return (
         parsed.join(best, ["host", "path"], "left")
-        .withColumns({"rule": F.col("__best.rule"), "verdict": F.coalesce("__best.verdict", F.lit(default))})
-        .drop("__best")
-        .select(*parsed.columns, "rule", "verdict")
+        .withColumns({"rule": F.col(name)["rule"], "verdict": F.coalesce(F.col(name)["verdict"], F.lit(default))})
+        .drop(name)
     )

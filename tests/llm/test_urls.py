@@ -66,3 +66,22 @@ def test_repeated_rows_clashing_columns_and_empty_tables(spark):
     assert len(rows) == 3 and {(r["host"], r["verdict"], r["rule"], r["digest"]) for r in rows} == {("a.com", "allow", "com/", 3)}
     assert urls.judge_urls(pages.limit(0), rules).count() == 0
     assert {r["verdict"] for r in urls.judge_urls(pages, rules.limit(0)).collect()} == {"allow"}
+
+
+def test_a_megabyte_of_directories_or_labels(spark):
+    import time
+
+    pages = ["http://example.com/en/" + "d/" * 500_000, "http://" + "a." * 500_000 + "www.example.com/en/", "http://x.net/" + "/" * 500_000, "x" * 1_000_000, "http://net/es/" + "é" * 500_000]
+    began = time.time()
+    assert judged(spark, pages, RULES) == {k: brute(u, RULES) for k, u in enumerate(pages)}
+    assert time.time() - began < 60
+    deep = [("com", "/a/b/c/d/", "block"), ("x.y.z.com", "/a/", "allow"), ("com", "", "block")]
+    urls_ = ["http://x.y.z.com/a/b/c/d/e", "http://q.x.y.z.com/a/b", "http://z.com/a/b/c/d", "http://com/a/b/c/d/", "http://org/a/b/c/d/"]
+    assert judged(spark, urls_, deep) == {k: brute(u, deep) for k, u in enumerate(urls_)}
+
+
+def test_any_internal_name_may_be_a_column(spark):
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    pages = spark.createDataFrame([(1, "http://a.com/", 5, 6, 7, "s")], "page_id long, url string, __best int, best int, _best int, short string")
+    (row,) = urls.judge_urls(pages, rules).collect()
+    assert (row["__best"], row["best"], row["_best"], row["short"], row["rule"]) == (5, 6, 7, "s", "com/")
