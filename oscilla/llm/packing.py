@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, text_of
+from .common import durable, fresh, text_of
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Entries of either cache of an encoder: some 70 MB each at most for words of usual length.
@@ -92,8 +92,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # Strings that spell special tokens are ordinary text.
-        self.tokenizer.encode_special_tokens = True
+        # Texts that spell one of these, in whatever case, go to the tokenizer whole.
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         spec = json.loads(self.tokenizer.to_str())
         self.known = (spec["normalizer"], spec["pre_tokenizer"]) == _KNOWN
         self.parts: dict[str, bytes] = {"": b""}
@@ -121,8 +121,12 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _spells_added(self, text: str) -> bool:
+        low = text.lower()
+        return any(t in low for t in self.added)
+
     def encode(self, text: str) -> bytes:
-        if not self.known:
+        if not self.known or self._spells_added(text):
             return self._whole(text)
         parts = text.replace("\n", " ").split(" ")
         found = list(map(self.parts.get, parts))
@@ -212,6 +216,7 @@ def pack(pieces: DataFrame, capacity: Capacity = Capacity()) -> DataFrame:
     pieces = pieces.drop("sequence_id", "offset")
     groups = max(1, round(pieces.count() / capacity.group))
     schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    name = fresh(pieces, "group")
 
     def one(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         lengths = table.column("length").to_numpy().astype(np.int64)
@@ -222,13 +227,13 @@ def pack(pieces: DataFrame, capacity: Capacity = Capacity()) -> DataFrame:
         offset = np.empty_like(lengths)
         offset[order] = before - np.maximum.accumulate(np.where(first, before, 0))
         return (
-            table.drop_columns(["__group"])
+            table.drop_columns([name])
             .append_column("sequence_id", pa.array((key[0].as_py() << 32) + bins))
             .append_column("offset", pa.array(offset))
         )
 
-    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).alias("__group")
-    return pieces.select("*", spread).groupBy("__group").applyInArrow(one, schema)
+    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).alias(name)
+    return pieces.select("*", spread).groupBy(name).applyInArrow(one, schema)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: Capacity = Capacity(), end_id: int = 0) -> DataFrame:

@@ -99,3 +99,19 @@ def test_senseless_capacities():
     for bad in ({"tokens": 0}, {"documents": -1}, {"score": "worst"}, {"group": 0}):
         with pytest.raises(ValueError):
             packing.Capacity(**bad)
+
+
+def test_ids_are_those_of_a_tokenizer_as_it_comes():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(PATH)
+    texts = ["hello <|startoftext|> world", "<|endoftext|>", "a<|ENDOFTEXT|>b", "x <|endoftext|", "<|startoftext|><|endoftext|> é <|endoftext|>", "no such thing"]
+    for t in texts:
+        assert packing.encoder(PATH).encode(t) == np.asarray(plain.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes(), t
+    assert packing.encoder(PATH).encode(texts[0]) == np.asarray([3306, 49406, 1002], dtype="<u4").tobytes()
+
+
+def test_any_internal_name_may_be_a_column(spark):
+    pieces = spark.createDataFrame([(5, 1, 2, 3), (6, 1, 2, 3)], "length long, __group int, group int, _group int")
+    rows = packing.pack(pieces).collect()
+    assert {(r["__group"], r["group"], r["_group"]) for r in rows} == {(1, 2, 3)} and sorted(r["offset"] for r in rows) in ([0, 5], [0, 6])
