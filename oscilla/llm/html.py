@@ -11,7 +11,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -25,9 +25,10 @@ SLOTS = PATH_SLOTS + WORD_SLOTS + MEASURES
 WEIGHTS = Path(__file__).with_name("html_weights.npz")
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"|<(/?)([a-zA-Z][^\s/>]*)",
     re.S,
 )
+_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[a-z]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,6 +44,31 @@ _SCOPES = frozenset("table ul ol dl div section article main aside nav header fo
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
+class _Ends:
+    """Where tags end: at the next ``>`` that isn't quoted; a quote that nothing closes quotes nothing."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.alone: set[str] = set()  # quotes that don't occur any more
+        self.plain = False  # all that is left stands in quotes: they count no more, so that no page is read again and again
+
+    def after(self, start: int) -> int:
+        """The place after the tag whose name ends at ``start``; -1 if it has no end."""
+        at = start
+        while not self.plain:
+            m = _STOP.search(self.page, at)
+            if m is None:
+                self.plain = True
+            elif m[0] == ">":
+                return m.end()
+            else:
+                closed = -1 if m[0] in self.alone else self.page.find(m[0], m.end())
+                if closed < 0:
+                    self.alone.add(m[0])
+                at = max(m.end(), closed + 1)
+        return self.page.find(">", start) + 1 or -1
+
+
 class Leaf:
     """One block: its text, the names on its path, and how much of it is links."""
 
@@ -68,6 +94,7 @@ def leaves(page: str) -> list[Leaf]:
     runs: list[str] = []
     closers: dict[str, re.Pattern[str]] = {}
     unclosed: set[str] = set()
+    ends = _Ends(page)
     linked = links = at = 0
 
     def flush() -> None:
@@ -99,8 +126,14 @@ def leaves(page: str) -> list[Leaf]:
         if m is None:
             add(page[at:])
             break
+        if m[2] is not None:
+            end = ends.after(m.end())
+            if end < 0:  # no tag is left
+                add(page[at:])
+                break
+            attributes = page[m.end() : end - 1]
         add(page[at : m.start()])
-        at = m.end()
+        at = end if m[2] is not None else m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
@@ -114,7 +147,7 @@ def leaves(page: str) -> list[Leaf]:
             continue
         if tag == "br":
             runs.append(" ")
-        if tag in _FOREIGN and m[3].endswith("/"):
+        if tag in _FOREIGN and attributes.endswith("/"):
             continue
         if tag in _RAW or tag == "xmp":
             if tag not in closers:
@@ -129,24 +162,24 @@ def leaves(page: str) -> list[Leaf]:
             if end or tag in _OPAQUE or tag == "xmp":
                 at = end.end() if end else len(page)
                 continue
-        if tag in _VOID or m[3].endswith("/") and tag not in _SCOPES and tag != "p":
+        if tag in _VOID or attributes.endswith("/") and tag not in _SCOPES and tag != "p":
             continue
-        ends = _CLOSES.get(tag, set()) | ({"p"} if tag in _ENDS_P else set())
-        if ends:
+        closes = _CLOSES.get(tag, set()) | ({"p"} if tag in _ENDS_P else set())
+        if closes:
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ends:
+                if stack[k][0] in closes:
                     close(k)
                     break
                 if stack[k][0] in _SCOPES and not (tag == "tr" and stack[k][0] in ("td", "th")):
                     break
-        stack.append((tag, _names(tag, m[3])))
+        stack.append((tag, _names(tag, attributes)))
         above.append(above[-1] + new if (new := tuple(dict.fromkeys(n for n in stack[-1][1] if n not in above[-1]))) else above[-1])
         links += tag == "a"
     flush()
     return found
 
 
-@cache
+@lru_cache(maxsize=200_000)
 def _slot(name: str, size: int) -> int:
     return xxhash.xxh3_64_intdigest(name.encode("utf-8", "replace")) % size
 
