@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from oscilla.llm import decontam, exact, minhash, packing, queries, toxicity
-from oscilla.llm.common import durable, read_table
+from oscilla.llm.common import cleanup, durable, read_table, written
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,6 +46,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
+    before = written()
     for _, stage in STAGES[:-1]:
         docs = durable(stage(spark, docs, sf_dir))
+        cleanup(since=before, keep=1)  # what the stage wrote for itself, and what the one before left it
     return STAGES[-1][1](spark, docs, sf_dir)
