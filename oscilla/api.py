@@ -84,9 +84,12 @@ class ShortTimeFTResult(_Frame):
         return self.df.withColumns(more)
 
 
+@dataclass(frozen=True)
 class MotionFeatures(_Frame):
     """FEATURES, and the spectrogram they come from."""
 
+    spectrogram: SpectrogramResult
+
 
 def resample_accelerometer(samples: DataFrame, target_fs: float, ts_unit: str = "s", time: str = "t") -> AccelerometerData:
     return AccelerometerData(resample.resample_linear(samples, target_fs, ts_unit=ts_unit, time=time))
@@ -132,8 +135,9 @@ def compute_spectrogram_nufft(samples: DataFrame, secperseg: float, secoverlap:
 
 
 def compute_motion_features(jerk: DataFrame, fs: float, **options) -> MotionFeatures:
-    """``options`` are those of :func:`oscilla.plans.features.motion_features`."""
-    return MotionFeatures(features.motion_features(jerk, fs, **options))
+    """``options`` are those of :func:`oscilla.plans.features.motion_features`; of the spectrogram nothing is made until it is asked for."""
+    cut = (options.get("window", features.WINDOW), options.get("overlap", features.OVERLAP), options.get("value", "value"))
+    return MotionFeatures(features.motion_features(jerk, fs, **options), SpectrogramResult(spectral.spectrogram(jerk, fs, *cut)))
 
 
 def hann_window(spark: SparkSession, n: int) -> DataFrame:

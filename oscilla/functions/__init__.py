@@ -56,11 +56,6 @@ def in_band(freq: Column, low: float | None = None, high: float | None = None) -
     return ok
 
 
-def clip_below(value: Column, least: Column) -> Column:
-    """0 where ``value`` is under ``least``."""
-    return F.when(value < least, F.lit(0.0)).otherwise(value)
-
-
 def positive_step(dt: Column) -> Column:
     """``dt`` where it is finite and positive, else null."""
     return F.when((dt > 0) & ~F.isnan(dt) & (dt < float("inf")), dt)
@@ -68,7 +63,8 @@ def positive_step(dt: Column) -> Column:
 
 def rescaled(values: Column, eps: float = 1e-12) -> Column:
     """An array over its own maximum, which counts as ``eps`` at least."""
-    return F.transform(values, lambda v: v / F.greatest(F.lit(eps), F.array_max(values)))
+    most = F.array_max(F.filter(values, lambda v: ~F.isnan(v)))
+    return F.transform(values, lambda v: v / F.greatest(F.lit(eps), most))
 
 
 def prominences(values: Column) -> Column:
@@ -80,7 +76,7 @@ def prominences(values: Column) -> Column:
 
     def low(side: Column, top: Column) -> Column:
         start = F.struct(top.alias("least"), F.lit(False).alias("over"))
-        step = lambda acc, v: F.when(acc["over"], acc).otherwise(F.struct(F.least(acc["least"], v).alias("least"), (v > top).alias("over")))
+        step = lambda acc, v: F.when(acc["over"], acc).otherwise(F.struct(F.least(acc["least"], v).alias("least"), ((v > top) & ~F.isnan(v)).alias("over")))
         return F.aggregate(side, start, step, lambda acc: acc["least"])
 
     n = F.size(values)
@@ -91,7 +87,8 @@ def prominences(values: Column) -> Column:
         return F.struct(i.alias("at"), top.alias("value"), (top - F.greatest(low(left, top), low(right, top))).alias("prominence"))
 
     inner = F.when(n > 2, F.sequence(F.lit(1), n - 2)).otherwise(F.array().cast("array<int>"))
-    tops = F.filter(inner, lambda i: (F.get(values, i) > F.get(values, i - 1)) & (F.get(values, i) > F.get(values, i + 1)))
+    # NaN is greater than any number here, but no peak and no wall.
+    tops = F.filter(inner, lambda i: ~F.isnan(F.get(values, i)) & (F.get(values, i) > F.get(values, i - 1)) & (F.get(values, i) > F.get(values, i + 1)))
     return F.transform(tops, at)
 
 

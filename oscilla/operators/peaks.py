@@ -2,34 +2,114 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import highest_peak, in_band, rescaled
-from ..validate import columns
+from ..validate import columns, positive
 from .spectral import wide
 
+#: Samples of a series that one task looks at together.
+CHUNK = 1 << 16
+_RECORD = "array<struct<value:double,low:double>>"
+_OPEN = "array<struct<idx:long,top:double,left:double,left_open:boolean,right:double,right_open:boolean,first:boolean,last:boolean>>"
+_PART = f"series_id long, chunk long, begin double, end double, high double, low double, done array<long>, open {_OPEN}, prefix {_RECORD}, suffix {_RECORD}"
+
+
+def _descents(v: list[float]) -> tuple[list[float], list[bool], list[tuple[float, float]]]:
+    """For each value the lowest one back to the nearest higher one, and whether there is a higher one.
+
+    Also what later values need of these: those higher than all after them, each with the lowest since the one before.
+    """
+    lows, walled = [0.0] * len(v), [False] * len(v)
+    stack: list[tuple[float, float]] = []
+    for i, x in enumerate(v):
+        low = x
+        while stack and stack[-1][0] <= x:
+            low = min(low, stack.pop()[1])
+        lows[i], walled[i] = low, bool(stack)
+        stack.append((x, low))
+    return lows, walled, stack
+
 
-def find_peaks(signal: DataFrame, prominence: float, value: str = "value") -> DataFrame:
+def _beyond(top: float, low: float, chunks: list[dict], side: str) -> float:
+    """``low`` carried on through ``chunks``, the nearest first, up to the first value above ``top``."""
+    for chunk in chunks:
+        if chunk["high"] > top:
+            for record in reversed(chunk[side]):
+                if record["value"] > top:
+                    return low
+                low = min(low, record["low"])
+        low = min(low, chunk["low"])
+    return low
+
+
+def find_peaks(signal: DataFrame, prominence: float, value: str = "value", chunk: int = CHUNK) -> DataFrame:
     """(series_id, idx): strict interior maxima of at least ``prominence``, measured to the nearest higher value on either side.
 
-    Walls are found for the candidates only, then the lowest value between them; both by an equi-join on the series.
+    NaN and null are neither peaks nor higher than any value, and what is beside them is no peak. Chunks of ``chunk``
+    sample numbers are looked through on their own, once; only peaks that are higher than all before or after them in
+    their chunk, and what tells these of other chunks, meet by series.
     """
     columns(signal, "series_id", "idx", value)
-    order = W.partitionBy("series_id").orderBy("idx")
-    own = signal.select("series_id", "idx", F.col(value).alias("v"))
-    tops = own.withColumns({"l": F.lag("v").over(order), "r": F.lead("v").over(order)}).where("v > l and v > r").select("series_id", F.col("idx").alias("at"), F.col("v").alias("top"))
-    near = tops.join(own, "series_id")
-    walls = near.groupBy("series_id", "at", "top").agg(
-        F.max(F.when((F.col("idx") < F.col("at")) & (F.col("v") > F.col("top")), F.col("idx"))).alias("left"),
-        F.min(F.when((F.col("idx") > F.col("at")) & (F.col("v") > F.col("top")), F.col("idx"))).alias("right"),
+    positive(chunk=chunk)
+
+    def look(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.sort_by("idx")
+        idx, v = table.column("idx").to_numpy(), np.array(table.column("v").fill_null(math.nan).to_numpy(), dtype=float)
+        known = np.flatnonzero(~np.isnan(v))
+        own = v[known].tolist()
+        left, left_wall, suffix = _descents(own)
+        right, right_wall, prefix = (x[::-1] if k < 2 else x for k, x in enumerate(_descents(own[::-1])))
+        place = np.full(len(v), -1)
+        place[known] = np.arange(len(known))
+        before, after = np.r_[-math.inf, v[:-1]], np.r_[v[1:], -math.inf]
+        tops = np.flatnonzero((v > before) & (v > after))
+        done, rest = [], []
+        for i in tops.tolist():
+            k = int(place[i])
+            first, last = i == 0, i == len(v) - 1
+            if first or last or not (left_wall[k] and right_wall[k]):
+                rest.append(
+                    {"idx": int(idx[i]), "top": own[k], "left": left[k], "left_open": not left_wall[k], "right": right[k], "right_open": not right_wall[k], "first": first, "last": last}
+                )
+            elif own[k] - max(left[k], right[k]) >= prominence:
+                done.append(int(idx[i]))
+        records = ([{"value": x, "low": low} for x, low in side] for side in (prefix, suffix))
+        row = [key[0], key[1], v[0], v[-1], max(own, default=-math.inf), min(own, default=math.inf), done, rest, *records]
+        return pa.Table.from_pylist([dict(zip(names, row, strict=True))], schema=kinds)
+
+    def meet(table: pa.Table) -> pa.Table:
+        chunks = sorted(table.to_pylist(), key=lambda c: c["chunk"])
+        found = []
+        for n, own in enumerate(chunks):
+            for p in own["open"]:
+                if (p["first"] and not (n and chunks[n - 1]["end"] < p["top"])) or (p["last"] and not (n + 1 < len(chunks) and chunks[n + 1]["begin"] < p["top"])):
+                    continue  # the series ends here, or the neighbour is as high
+                left = _beyond(p["top"], p["left"], chunks[n - 1 :: -1] if n else [], "suffix") if p["left_open"] else p["left"]
+                right = _beyond(p["top"], p["right"], chunks[n + 1 :], "prefix") if p["right_open"] else p["right"]
+                if p["top"] - max(left, right) >= prominence:
+                    found.append(p["idx"])
+        return pa.table({"series_id": pa.array([chunks[0]["series_id"]] * len(found), pa.int64()), "idx": pa.array(found, pa.int64())})
+
+    record = pa.list_(pa.struct([("value", pa.float64()), ("low", pa.float64())]))
+    flags = [(n, pa.bool_()) for n in ("first", "last")]
+    opened = pa.struct([("idx", pa.int64()), ("top", pa.float64()), ("left", pa.float64()), ("left_open", pa.bool_()), ("right", pa.float64()), ("right_open", pa.bool_()), *flags])
+    kinds = pa.schema(
+        [("series_id", pa.int64()), ("chunk", pa.int64()), *((n, pa.float64()) for n in ("begin", "end", "high", "low")), ("done", pa.list_(pa.int64())), ("open", pa.list_(opened)), ("prefix", record), ("suffix", record)]
     )
-    between = (F.col("left").isNull() | (F.col("idx") >= F.col("left"))) & (F.col("right").isNull() | (F.col("idx") <= F.col("right")))
-    lows = walls.join(own, "series_id").where(between).groupBy("series_id", "at", "top").agg(
-        F.min(F.when(F.col("idx") <= F.col("at"), F.col("v"))).alias("a"), F.min(F.when(F.col("idx") >= F.col("at"), F.col("v"))).alias("b")
+    names = kinds.names
+    own = signal.select(
+        F.col("series_id").cast("long").alias("series_id"), F.floor(F.col("idx") / F.lit(float(chunk))).cast("long").alias("chunk"), F.col("idx").cast("long").alias("idx"), F.col(value).cast("double").alias("v")
     )
-    return lows.where(F.col("top") - F.greatest("a", "b") >= prominence).select("series_id", F.col("at").alias("idx"))
+    parts = own.groupBy("series_id", "chunk").applyInArrow(look, _PART)
+    inner = parts.select("series_id", F.explode("done").alias("idx"))
+    return inner.unionByName(parts.drop("done").groupBy("series_id").applyInArrow(meet, "series_id long, idx long"))
 
 
 def spectrogram_peaks(spec: DataFrame, prominence: float, scale: float = 60.0) -> DataFrame:

@@ -18,6 +18,8 @@ from ..validate import columns, positive
 from .series import with_neighbour
 
 _AXES = ("x", "y", "z")
+#: Grid points of one interval that are made at once.
+BLOCK = 4096
 
 
 def _grid(samples: DataFrame, target_fs: float) -> DataFrame:
@@ -58,8 +60,13 @@ def resample_linear(samples: DataFrame, target_fs: float, order: tuple[str, ...]
     last = F.col("points") - 1
     low = F.greatest(F.lit(0).cast("long"), F.floor((F.col("ts_us") - F.col("t0")) / step) - 1)
     high = F.least(last, F.ceil((F.col("next.ts_us") - F.col("t0")) / step) + 1)
-    i = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
-    points = near.where("next is not null").withColumn("i", F.explode(i)).withColumn("t", _at(F.col("t0"), F.col("i"), target_fs))
+    # Points in blocks, then one by one: however long a gap is, no array is.
+    none = F.array().cast("array<bigint>")
+    part = near.where("next is not null").withColumns({"low": low, "high": high})
+    blocks = F.sequence(F.floor(F.col("low") / F.lit(float(BLOCK))).cast("long"), F.floor(F.col("high") / F.lit(float(BLOCK))).cast("long"))
+    part = part.withColumn("block", F.explode(F.when(F.col("low") <= F.col("high"), blocks).otherwise(none)))
+    i = F.sequence(F.greatest("low", F.col("block") * BLOCK), F.least("high", F.col("block") * BLOCK + (BLOCK - 1)))
+    points = part.withColumn("i", F.explode(i)).withColumn("t", _at(F.col("t0"), F.col("i"), target_fs))
     inside = ((F.col("t") > F.col("ts_us")) & (F.col("t") <= F.col("next.ts_us"))) | (F.col("before").isNull() & (F.col("t") <= F.col("t0")))
     share = (F.col("t") - F.col("ts_us")) / (F.col("next.ts_us") - F.col("ts_us"))
     alpha = F.when(F.col("t") <= F.col("ts_us"), F.lit(0.0)).otherwise(share)

@@ -71,10 +71,11 @@ def jerk(samples: DataFrame, use_diff: bool = True, order: tuple[str, ...] = ("t
     )
 
 
-def rolling_std(signal: DataFrame, width: int | None = None, window_minutes: float = 5.0, seconds_per_window: float = 30.0, value: str = "value", name: str = "rolling_std") -> DataFrame:
+def rolling_std(signal: DataFrame, width: int | None = None, window_minutes: float = 5.0, seconds_per_window: float = 30.0, value: str = "value", name: str = "rolling_std", chunk: int | None = None) -> DataFrame:
     """``signal`` with the population spread of the ``width`` values before each, itself and ``width`` - 1 after it.
 
-    Without ``width`` it is the whole windows in ``window_minutes``. Of width 0 the spread is NaN.
+    Without ``width`` it is the whole windows in ``window_minutes``. Of width 0 the spread is NaN. With ``chunk`` a
+    series too long for one task is split into so many sample numbers, which must follow one another.
     """
     columns(signal, "series_id", "idx", value)
     if width is None:
@@ -83,8 +84,9 @@ def rolling_std(signal: DataFrame, width: int | None = None, window_minutes: flo
         width = int(window_minutes * 60 / seconds_per_window)
     if width == 0:
         return signal.withColumn(name, F.lit(float("nan")))
-    frame = W.partitionBy("series_id").orderBy("idx").rowsBetween(-width, width - 1)
-    return signal.withColumn(name, F.stddev_pop(value).over(frame))
+    signal, keys = _chunked(signal, "idx", chunk, width)
+    frame = W.partitionBy(*keys).orderBy("idx").rowsBetween(-width, width - 1)
+    return _unchunked(signal.withColumn(name, F.stddev_pop(value).over(frame)), "idx", chunk)
 
 
 def gaussian_kernel(sigma: float, truncate: float = 4.0) -> list[float]:
@@ -94,10 +96,27 @@ def gaussian_kernel(sigma: float, truncate: float = 4.0) -> list[float]:
     return [w / sum(raw) for w in raw]
 
 
-def gaussian_filter(signal: DataFrame, sigma: float, truncate: float = 4.0, value: str = "value", name: str = "smoothed") -> DataFrame:
+def _chunked(df: DataFrame, at: str, chunk: int | None, margin: int) -> tuple[DataFrame, list[str]]:
+    """``df`` with rows that are within ``margin`` of another chunk in that one too, and the columns to partition by."""
+    if chunk is None:
+        return df, ["series_id"]
+    positive(chunk=chunk)
+    ends = [F.floor((F.col(at) + d) / F.lit(float(chunk))).cast("long") for d in (-margin, margin)]
+    return df.withColumn("__chunk", F.explode(F.sequence(*ends))), ["series_id", "__chunk"]
+
+
+def _unchunked(df: DataFrame, at: str, chunk: int | None) -> DataFrame:
+    """Each row of :func:`_chunked` in its own chunk alone."""
+    return df if chunk is None else df.where(F.col("__chunk") == F.floor(F.col(at) / F.lit(float(chunk))).cast("long")).drop("__chunk")
+
+
+def gaussian_filter(
+    signal: DataFrame, sigma: float, truncate: float = 4.0, value: str = "value", name: str = "smoothed", chunk: int | None = None
+) -> DataFrame:
     """series_id, idx and the smoothed value; beyond its ends a series goes on in mirror image, at most once.
 
-    Mirrored rows are added as rows, so that one sort serves all taps and nothing is joined.
+    Mirrored rows are added as rows, so that one sort serves all taps and nothing is joined. With ``chunk`` a series
+    too long for one task is split into so many sample numbers; only its length is joined.
     """
     columns(signal, "series_id", "idx", value)
     kernel = gaussian_kernel(sigma, truncate)
@@ -107,16 +126,20 @@ def gaussian_filter(signal: DataFrame, sigma: float, truncate: float = 4.0, valu
     longer = F.when(F.lit(r) > n, F.sequence(n + 1, F.lit(r).cast("long"))).otherwise(none)  # past a whole mirror image: the far end
     left = F.concat(F.when(i < r, F.array(-i - 1)).otherwise(none), F.when(i == n - 1, F.transform(longer, lambda p: -p)).otherwise(none))
     right = F.concat(F.when(i >= n - r, F.array(2 * n - 1 - i)).otherwise(none), F.when(i == 0, F.transform(longer, lambda p: n - 1 + p)).otherwise(none))
-    rows = (
-        signal.select("series_id", "idx", F.col(value).alias("v"), F.count("*").over(W.partitionBy("series_id")).alias("n"))
-        .select("series_id", "v", "n", F.explode(F.concat(F.array("idx"), left, right)).alias("at"))
-    )
-    order = W.partitionBy("series_id").orderBy("at")
+    own = signal.select("series_id", "idx", F.col(value).alias("v"))
+    if chunk is None:
+        own = own.withColumn("n", F.count("*").over(W.partitionBy("series_id")))
+    else:
+        own = own.join(own.groupBy("series_id").agg(F.count("*").alias("n")), "series_id")
+    rows = own.select("series_id", "v", "n", F.explode(F.concat(F.array("idx"), left, right)).alias("at"))
+    rows, keys = _chunked(rows, "at", chunk, r)
+    order = W.partitionBy(*keys).orderBy("at")
     total: Column = F.lit(0.0)
     for k, w in enumerate(kernel):
         near = F.col("v") if k == r else F.lag("v", r - k).over(order) if k < r else F.lead("v", k - r).over(order)
         total = total + near * F.lit(w)
-    return rows.withColumn(name, total).where("at >= 0 and at < n").select("series_id", F.col("at").alias("idx"), name)
+    rows = _unchunked(rows.withColumn(name, total), "at", chunk)
+    return rows.where("at >= 0 and at < n").select("series_id", F.col("at").alias("idx"), name)
 
 
 def rate_clamp(signal: DataFrame, max_change: float, sampling_rate: float, values: tuple[str, ...] = ("value",)) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import Window as W
 
 from ..functions import hann, hann_power, next_power_of_2, positive_step
 from ..validate import columns, not_negative, overlap, positive
+from .series import with_neighbour
+from .stats import upper_median
 
 #: Products of window length and bins up to which sums are quicker than a trip to Python.
 DIRECT = 1024
@@ -115,7 +117,7 @@ def wide(spec: DataFrame) -> DataFrame:
 
 def rescale(spec: DataFrame, eps: float = 1e-12) -> DataFrame:
     """``spec`` with magnitudes over their segment's greatest, which counts as ``eps`` at least."""
-    return spec.withColumn("mag", F.col("mag") / F.greatest(F.lit(eps), F.max("mag").over(W.partitionBy("series_id", "seg"))))
+    return spec.withColumn("mag", F.col("mag") / F.greatest(F.lit(eps), F.max(F.when(~F.isnan("mag"), F.col("mag"))).over(W.partitionBy("series_id", "seg"))))
 
 
 def frequency_sum(spec: DataFrame) -> DataFrame:
@@ -174,26 +176,32 @@ def band_power(signal: DataFrame, fs: float, low: float, high: float, value: str
     return bins.groupBy("series_id").agg((F.sum(F.col("re") ** 2 + F.col("im") ** 2) / F.first("n")).alias("power"))
 
 
-def nufft_spectrogram(samples: DataFrame, secperseg: float, secoverlap: float, value: str = "value", target_fs: float = 0.0, time: str = "ts_us", on_error: str = "drop") -> DataFrame:
+def nufft_spectrogram(samples: DataFrame, secperseg: float, secoverlap: float, value: str = "value", target_fs: float = 0.0, time: str = "ts_us", on_error: str = "drop", chunk_us: int | None = None) -> DataFrame:
     """SPEC of irregular samples: windows by time from each series' first sample, exact sums at the true times.
 
     The bin count is the next power of two from secperseg over the upper median step, halved; a window of under four
     samples is left out; a window whose weights vanish is zero. With ``target_fs`` bins go up to half of it: beyond
     the last one its value is repeated. A series without a rising step, or with steps too long for the window, gives
-    no rows, or an error with ``on_error="raise"``.
+    no rows, or an error with ``on_error="raise"``. With ``chunk_us`` a series too long for one task is split by time.
     """
     overlap(secperseg, secoverlap)
     not_negative(target_fs=target_fs)
     columns(samples, "series_id", time, value)
     hop = secperseg - secoverlap
-    whole = W.partitionBy("series_id")
-    t0 = F.min(time).over(whole)
-    base = samples.select("series_id", ((F.col(time) - t0) / F.lit(1e6)).alias("t"), F.col(value).alias("v"))
-    base = base.withColumn("dt", positive_step(F.col("t") - F.lag("t").over(W.partitionBy("series_id").orderBy("t"))))
-    upper = F.array_sort(F.collect_list("dt"))
-    facts = base.groupBy("series_id").agg(
-        F.max("t").alias("t_end"), F.count("dt").alias("steps"), F.get(upper, F.floor(F.count("dt") / 2).cast("int")).alias("dt_median")
-    )
+    if chunk_us is None:
+        t0 = F.min(time).over(W.partitionBy("series_id"))
+        base = samples.select("series_id", F.col(time).alias("us"), ((F.col(time) - t0) / F.lit(1e6)).alias("t"), F.col(value).alias("v"))
+        before = F.lag("t").over(W.partitionBy("series_id").orderBy("t"))
+    else:
+        start = samples.groupBy("series_id").agg(F.min(time).alias("t0"))
+        base = samples.select("series_id", F.col(time).alias("us"), F.col(value).alias("v")).join(start, "series_id")
+        base = base.select("series_id", "us", ((F.col("us") - F.col("t0")) / F.lit(1e6)).alias("t"), "v")
+        base = with_neighbour(base, ["t"], "last", order=("us",), chunk_us=chunk_us)
+        before = F.col("last.t")
+    base = base.withColumn("dt", positive_step(F.col("t") - before)).select("series_id", "t", "v", "dt")
+    ends = base.groupBy("series_id").agg(F.max("t").alias("t_end"), F.count("dt").alias("steps"))
+    middle = upper_median(base.where("dt is not null").select("series_id", F.col("dt").alias("dt_median")), "series_id", "dt_median")
+    facts = ends.join(middle, "series_id", "left")
     fits = (F.col("steps") > 0) & ((F.lit(float(secperseg)) * (1.0 / F.col("dt_median"))).cast("long") >= 2)
     if on_error == "raise":
         facts = facts.where(F.when(fits, F.lit(True)).otherwise(F.raise_error(F.lit("a series is too sparse for the window")).cast("boolean")))

@@ -47,9 +47,16 @@ def steps(samples: DataFrame, series: str = "series_id", time: str = "ts_us") ->
 def sampling_rate(samples: DataFrame, series: str = "series_id", time: str = "ts_us") -> DataFrame:
     """(series_id, dt, fs): the upper median of the positive steps, and its inverse; series without one are left out."""
     good = steps(samples, series, time).select(series, positive_step(F.col("dt")).alias("dt")).where("dt is not null")
-    upper = F.array_sort(F.collect_list("dt"))
-    found = good.groupBy(series).agg(F.element_at(upper, (F.floor(F.count("*") / 2) + 1).cast("int")).alias("dt"))
-    return found.withColumn("fs", 1.0 / F.col("dt"))
+    return upper_median(good, series, "dt").withColumn("fs", 1.0 / F.col("dt"))
+
+
+def upper_median(df: DataFrame, series: str, value: str) -> DataFrame:
+    """(series, value): the upper median of each series' values, from counts of equal ones in order; no array of a series."""
+    counted = df.groupBy(series, value).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy(series).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    place = F.floor(F.sum("__n").over(W.partitionBy(series)) / 2)
+    marked = counted.withColumns({"__before": before, "__place": place})
+    return marked.where("__before <= __place and __place < __before + __n").select(series, value)
 
 
 def window_seconds(samples: DataFrame, n: int, series: str = "series_id", time: str = "ts_us") -> DataFrame:

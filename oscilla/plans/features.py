@@ -12,12 +12,15 @@ from ..operators.spectral import band_bins_of, spectrogram, wide
 from ..operators.stats import without_floor
 from ..validate import not_negative, positive
 
+#: Half a minute at 50 Hz, and half of that.
+WINDOW, OVERLAP = 1500, 750
+
 
 def motion_features(
     signal: DataFrame,
     fs: float,
-    window: int = 1500,
-    overlap: int = 750,
+    window: int = WINDOW,
+    overlap: int = OVERLAP,
     breathing: tuple[float, float] = (0.15, 0.417),
     heart: tuple[float, float] = (0.5, 2.0),
     std_window_minutes: float = 5.0,

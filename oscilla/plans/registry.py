@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
+from pyspark.sql import Window as W
 
 from .. import functions as fn
 from ..operators import peaks, resample, series, spectral, stats
-from ..sources import events_as_samples, lengths, xyz_rows
+from ..sources import events_as_samples, from_arrays, lengths, microseconds, recordings, seconds, txyz_rows, xyz_rows
 from .features import motion_features
 
 ORDER = ("ts_us", "event_id")
@@ -445,3 +446,149 @@ def array_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embedding_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("series_id"), F.explode("embedding").alias("v")).withColumn("v", F.col("v").cast("double"))
     return _r(v.groupBy("series_id").agg(stats.median(F.col("v")).alias("median"), F.min("v").alias("min"), F.max("v").alias("max")), "median", "min", "max")
+
+
+@_query(ORACLE_SQL["rolling_std"])
+def rolling_std_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same split by 100 sample numbers, as for series too long for one task."""
+    return _r(series.rolling_std(_signal(spark, sf_dir), 5, chunk=100), "rolling_std").drop("value")
+
+
+@_query(ORACLE_SQL["gaussian_filter"])
+def gaussian_filter_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(series.gaussian_filter(_signal(spark, sf_dir), 2.0, chunk=100), "smoothed")
+
+
+@_query(ORACLE_SQL["find_peaks"])
+def find_peaks_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return peaks.find_peaks(_signal(spark, sf_dir), 0.5, chunk=7)
+
+
+@_query(ORACLE_SQL["nufft_spectrogram"])
+def nufft_spectrogram_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spectral.nufft_spectrogram(_samples(spark, sf_dir), WEEK, HOP, "x", chunk_us=86_400_000_000)
+    return _r(found.select("series_id", "seg", "t_s", "k", (F.round("mag", 4) + F.lit(0.0)).alias("mag")), "t_s")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the lines of text recordings: series of even number under a header with commas, others with blanks."""
+    s = _samples(spark, sf_dir)
+    even = F.col("series_id") % 2 == 0
+    comma = F.concat_ws(",", F.format_string("%.6f", F.col("ts_us") / F.lit(1e6)), *(F.col(c).cast("string") for c in "xyz"), F.lit("extra"))
+    blank = F.concat_ws("  ", F.format_string(" %.6f", F.col("ts_us") / F.lit(1e6)), F.col("x").cast("string"), F.concat_ws("\t", F.col("y").cast("string"), F.col("z").cast("string")))
+    rows = s.select(F.col("series_id").cast("string").alias("file"), F.when(even, comma).otherwise(blank).alias("value"))
+    more = F.when(even, F.lit("TIMESTAMP,ACC_X,ACC_Y,ACC_Z")).otherwise(F.lit("1.0 not numbers at"))
+    return rows.unionByName(s.select("series_id").distinct().select(F.col("series_id").cast("string").alias("file"), more.alias("value")))
+
+
+@_query(f"WITH {S} SELECT CAST(series_id AS VARCHAR) AS file, CAST(trunc(CAST(printf('%.6f', ts_us / 1e6) AS DOUBLE) * 1000000) AS BIGINT) AS ts_us, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z FROM s")
+def scan_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both text layouts, told line by line."""
+    return _r(recordings(_lines(spark, sf_dir)).drop("series_id"), "x", "y", "z")
+
+
+@_query("SELECT 7 AS series_id, i * 20000 AS ts_us, round(sin(i / 10.0), 6) + 0.0 AS x, round(cos(i / 10.0), 6) + 0.0 AS y, i * 0.5 AS z FROM range(0, 1000) t(i)")
+def in_memory_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays in, frame out; by way of Arrow and back, as :meth:`to_arrow` gives it."""
+    i = np.arange(1000)
+    found = from_arrays(spark, {7: (i * 20_000, np.sin(i / 10), np.cos(i / 10), i * 0.5)})
+    return _r(spark.createDataFrame(found.toArrow()), "x", "y")
+
+
+@_query(f"WITH {S} SELECT series_id, event_id, ts_us, ts_us // 1000 * 1000 AS of_ms, ts_us // 1000000 * 1000000 AS of_s, round(ts_us / 1e6, 3) AS seconds, round((ts_us // 1000) / 1e3, 3) AS seconds_of_ms FROM s")
+def time_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time in each unit as microseconds and as seconds."""
+    ms, s = F.floor(F.col("ts_us") / 1000).cast("long"), F.floor(F.col("ts_us") / 1_000_000).cast("long")
+    return _samples(spark, sf_dir).select(
+        "series_id", "event_id", microseconds(F.col("ts_us"), "us").alias("ts_us"), microseconds(ms, "ms").alias("of_ms"), microseconds(s, "s").alias("of_s"),
+        F.round(seconds(F.col("ts_us"), "us"), 3).alias("seconds"), F.round(seconds(ms, "ms"), 3).alias("seconds_of_ms"),
+    )
+
+
+_JERK_OF_TIME = f"""WITH {S}, u AS (SELECT series_id, ts_us, any_value(x) AS x, any_value(y) AS y, any_value(z) AS z FROM s GROUP BY ALL HAVING count(*) = 1),
+d AS (SELECT *, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy, z - lag(z) OVER w AS dz, row_number() OVER w AS rn, count(*) OVER (PARTITION BY series_id) AS n FROM u WINDOW w AS (PARTITION BY series_id ORDER BY ts_us))
+SELECT series_id, ts_us, round(CASE WHEN rn = 1 THEN 0.0 ELSE sqrt(dx * dx + dy * dy + dz * dz) END, 6) + 0.0 AS jerk FROM d WHERE n >= 2"""
+
+
+def _apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples whose timestamp is their series' only one: what has no order besides time."""
+    n = F.count("*").over(W.partitionBy("series_id", "ts_us"))
+    return _samples(spark, sf_dir).withColumn("n", n).where("n = 1").drop("n", "event_id")
+
+
+@_query(_JERK_OF_TIME)
+def jerk_microseconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timestamps that are microseconds already, through the public call for them."""
+    return _r(series.jerk(_apart(spark, sf_dir), True), "jerk")
+
+
+@_query(_JERK_OF_TIME)
+def jerk_of_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from time in another unit."""
+    timed = _apart(spark, sf_dir).withColumn("t", F.col("ts_us")).withColumn("ts_us", microseconds(F.col("t"), "us"))
+    return _r(series.jerk(timed), "jerk")
+
+
+@_query(ORACLE_SQL["resample_linear"])
+def resample_linear_of_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linear resampling of a column of time in a named unit."""
+    timed = _samples(spark, sf_dir).withColumnRenamed("ts_us", "t")
+    return _r(resample.resample_linear(timed, HOUR, order=ORDER, ts_unit="us", time="t"), "x", "y", "z")
+
+
+@_query(ORACLE_SQL["resample_cubic"])
+def resample_cubic_of_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    timed = _samples(spark, sf_dir).withColumnRenamed("ts_us", "t")
+    return _r(resample.resample_cubic(timed, HOUR, ts_unit="us", time="t"), "x", "y", "z")
+
+
+@_query(f"WITH {S} SELECT series_id, ts_us::DOUBLE AS t, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z FROM s")
+def txyz_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda k: F.get("txyz", F.lit(k))
+    return _r(txyz_rows(_samples(spark, sf_dir)).select("series_id", at(0).alias("t"), at(1).alias("x"), at(2).alias("y"), at(3).alias("z")), "x", "y", "z")
+
+
+@_query(f"WITH {DFT} SELECT series_id, seg, k, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im, round(re * re + im * im, 5) + 0.0 AS power FROM ft")
+def stft_complex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transform as complex numbers: a struct whose parts are power's."""
+    both = spectral.stft(_signal(spark, sf_dir), 1.0, N, SHARED).select("series_id", "seg", "k", F.struct("re", "im").alias("complex"))
+    re, im = F.col("complex.re"), F.col("complex.im")
+    found = both.select("series_id", "seg", "k", re.alias("re"), im.alias("im"), (F.round(fn.power(re, im), 5) + F.lit(0.0)).alias("power"))
+    return _r(found, "re", "im")
+
+
+def _rejected(call: Callable[[], object]) -> bool:
+    try:
+        call()
+    except ValueError:
+        return True
+    return False
+
+
+@_query(
+    """SELECT * FROM (VALUES ('band', true), ('empty_rate', true), ('good', false), ('missing_column', true), ('negative_limit', true), ('overlap', true), ('percentile', true), ('unequal_arrays', true), ('unit', true)) t("check", rejected)"""
+)
+def validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which parameters are refused before anything runs."""
+    s, v = _samples(spark, sf_dir), _signal(spark, sf_dir)
+    checks = {
+        "band": lambda: fn.in_band(F.lit(1.0), 2.0, 1.0),
+        "empty_rate": lambda: resample.resample_linear(s, 0.0),
+        "good": lambda: spectral.spectrogram(v, 1.0, N, SHARED),
+        "missing_column": lambda: series.jerk(s.drop("z")),
+        "negative_limit": lambda: series.rate_clamp(v, -1.0, 1.0),
+        "overlap": lambda: spectral.stft(v, 1.0, 8, 8),
+        "percentile": lambda: stats.percentile(F.lit(1.0), 101),
+        "unequal_arrays": lambda: from_arrays(spark, {1: ([1, 2], [0.0], [0.0], [0.0])}),
+        "unit": lambda: microseconds(F.lit(1), "fortnight"),
+    }
+    return spark.createDataFrame([(name, _rejected(call)) for name, call in checks.items()], "check string, rejected boolean")
+
+
+@_query(ORACLE_SQL["spectrogram"])
+def motion_spectrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spectrogram that motion features come from, as their result gives it."""
+    from ..api import compute_motion_features
+
+    found = compute_motion_features(_signal(spark, sf_dir), 1.0, window=N, overlap=SHARED, breathing=BREATH, heart=HEART)
+    return _r(found.spectrogram.df, "mag")

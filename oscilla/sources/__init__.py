@@ -27,11 +27,15 @@ def read_recordings(spark: SparkSession, path: str | list[str], ts_unit: str = "
     kinds, split anywhere, are read in one pass without a look at any file on the driver. The series is the hash of
     the file's name. Only the first four columns count; lines without four numbers are left out.
     """
+    return recordings(spark.read.text(path).select(F.input_file_name().alias("file"), "value"), ts_unit)
+
+
+def recordings(lines: DataFrame, ts_unit: str = "s") -> DataFrame:
+    """As :func:`read_recordings` of lines (file, value) from anywhere."""
     parts = F.split(F.trim("value"), r"\s*,\s*|\s+")
     number = [F.expr(f"try_cast(get(parts, {k}) as double)") for k in range(4)]
     return (
-        spark.read.text(path)
-        .select(F.input_file_name().alias("file"), parts.alias("parts"))
+        lines.select("file", parts.alias("parts"))
         .where(~F.get("parts", F.lit(0)).startswith(HEADER))
         .select(
             F.xxhash64("file").alias("series_id"),

@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 UNITS = {"s": 1_000_000, "ms": 1_000, "us": 1}
 
@@ -44,8 +43,3 @@ def unit(name: str) -> int:
 def columns(df: DataFrame, *names: str) -> None:
     if missing := [n for n in names if n not in df.columns]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-
-
-def strictly_rising(gap):
-    """``gap`` to the next sample, or an error at run time where timestamps repeat or fall."""
-    return F.when(gap <= 0, F.raise_error(F.lit("timestamps of a series must rise"))).otherwise(gap)

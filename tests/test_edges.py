@@ -183,3 +183,73 @@ def test_sql_functions(spark):
     fn.register(spark)
     row = spark.sql("SELECT magnitude3(2, 3, 6) AS m, next_pow2(1025) AS p, next_pow2(0) AS q, hann_at(4, 8) AS w").first()
     assert (row["m"], row["p"], row["q"], row["w"]) == (7.0, 2048, 1, 1.0)
+
+
+def slow_peaks(v, prominence):
+    """By the definition, value by value; comparisons with NaN are false."""
+    found = []
+    for i in range(1, len(v) - 1):
+        if v[i] > v[i - 1] and v[i] > v[i + 1]:
+            lows = []
+            for side in (range(i - 1, -1, -1), range(i + 1, len(v))):
+                low = v[i]
+                for j in side:
+                    low = v[j] if v[j] < low else low
+                    if v[j] > v[i]:
+                        break
+                lows.append(low)
+            if v[i] - max(lows) >= prominence:
+                found.append(i)
+    return found
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 10, 1 << 16])
+def test_peaks_against_brute_force_in_chunks(spark, chunk):
+    rng = np.random.default_rng(4)
+    rows = [rng.normal(size=n).round(k) for n in (1, 2, 3, 50, 120) for k in (0, 1, 6)]
+    rows += [np.arange(40.0), np.arange(40.0)[::-1], np.sin(np.arange(90) / 5) + np.arange(90) / 30, np.zeros(9)]
+    for share in (0.1, 0.4):
+        rows.append(np.where(rng.random(100) < share, np.nan, rng.normal(size=100).round(1)))
+    df = signal(spark, *rows)
+    for prominence in (0.0, 0.5, 1.7):
+        got = sorted((r["series_id"], r["idx"]) for r in peaks.find_peaks(df, prominence, chunk=chunk).collect())
+        assert got == [(k, i) for k, v in enumerate(rows) for i in slow_peaks(v, prominence)]
+
+
+def test_nan_is_neither_a_peak_nor_a_wall(spark):
+    nan = float("nan")
+    assert values(peaks.find_peaks(signal(spark, [0, 1, 0, nan, 0, 2, 0]), 0.5), "idx", "idx") == [1, 5]
+    arrays = spark.createDataFrame([([0.0, 1.0, 0.0, nan, 0.0, 2.0, 0.0],), ([nan, nan],)], "a array<double>")
+    rows = arrays.select(fn.prominences(F.col("a")).alias("p"), fn.rescaled(F.col("a")).alias("r")).collect()
+    assert [(p["at"], p["prominence"]) for p in rows[0]["p"]] == [(1, 1.0), (5, 2.0)] and rows[0]["r"][5] == 1.0 and rows[1]["p"] == []
+
+
+def test_find_peaks_joins_no_series_with_itself(spark):
+    plan = peaks.find_peaks(signal(spark, [0, 1, 0]), 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_a_year_long_gap_needs_no_long_array(spark, monkeypatch):
+    two = samples(spark, [(1, 0, 0.0, 0.0, 0.0), (1, 31_536_000 * 1_000_000, 1.0, 0.0, 0.0)])
+    got = resample.resample_linear(two, 0.1)
+    assert got.count() == 3_153_600 and got.agg(F.max("x")).first()[0] < 1
+    monkeypatch.setattr(resample, "BLOCK", 3)
+    few = samples(spark, [(1, 0, 0.0, 0.0, 0.0), (1, 9_000_000, 9.0, 0.0, 0.0), (1, 10_000_000, 0.0, 0.0, 0.0)])
+    assert values(resample.resample_linear(few, 1.0), "x", "ts_us") == [float(k) for k in range(10)]
+
+
+@pytest.mark.parametrize("chunk", [1, 4, 1000])
+def test_chunks_change_nothing(spark, chunk):
+    rng = np.random.default_rng(5)
+    df = signal(spark, *(rng.normal(size=n) for n in (1, 2, 7, 30)))
+    for f in (lambda **k: series.rolling_std(df, 3, **k), lambda **k: series.gaussian_filter(df, 1.5, **k)):
+        whole, cut = (sorted(tuple(round(x, 9) for x in r) for r in f(**k).collect()) for k in ({}, {"chunk": chunk}))
+        assert str(whole) == str(cut)
+
+
+def test_upper_median(spark):
+    rng = np.random.default_rng(6)
+    own = [rng.integers(1, 5, n).astype(float) for n in (1, 2, 3, 10, 11)]
+    df = signal(spark, *own)
+    got = {r["series_id"]: r["value"] for r in stats.upper_median(df, "series_id", "value").collect()}
+    assert got == {k: sorted(v)[len(v) // 2] for k, v in enumerate(own)}
