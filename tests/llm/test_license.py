@@ -80,3 +80,61 @@ def test_wording_wrapped_over_lines(scanner, name):
 def test_every_notice_of_a_line_is_a_row(scanner):
     text = "Licensed under CC BY 4.0. A word between. Licensed under CC BY 4.0. " * 100
     assert [f.license for f in scanner.scan(text)] == ["CC-BY-4.0"] * 200
+
+
+def wrapped(text, width):
+    import textwrap
+
+    return "\n".join(" * " + line for line in textwrap.wrap(text, width, break_on_hyphens=False, break_long_words=False))
+
+
+@pytest.mark.parametrize("width", [40, 72, 100])
+@pytest.mark.parametrize("k", range(len(license.TEMPLATES)))
+def test_every_template_is_found_however_it_is_wrapped(scanner, k, width):
+    name, kind, wording = license.TEMPLATES[k]
+    text = f"Some code.\n/*\n{wrapped(wording.replace('<holder>', 'Some People'), width)}\n */\nMore code, much more of it."
+    found = scanner.scan(text)
+    assert [(f.license, f.kind) for f in found] == [(name, kind)] and not found[0].missing
+
+
+def test_a_full_text_with_other_words_is_one_finding(scanner):
+    full = next(t for n, k, t in license.TEMPLATES if (n, k) == ("BSD-3-Clause", "full"))
+    text = wrapped(full.replace("the copyright holder nor", "Example Corporation nor").replace("COPYRIGHT HOLDERS AND CONTRIBUTORS", "REGENTS AND CONTRIBUTORS"), 72)
+    (found,) = scanner.scan(f"Copyright 2020\n\n{text}\n\n#include")
+    assert (found.license, found.kind) == ("BSD-3-Clause", "full") and {"example", "corporation", "regents"} <= set(found.added)
+
+
+def test_templates_without_a_usual_word_are_found():
+    own = license.Scanner((("Own", "notice", "These pages may be copied by anybody who cites them properly"),))
+    assert [f.license for f in own.scan("x\nThese pages may be copied\nby anybody who cites them properly. y")] == ["Own"]
+
+
+def test_against_alignment_of_every_template_with_the_whole_text(scanner):
+    import random
+
+    r = random.Random(3)
+    for _ in range(40):
+        words = ["".join(r.choices("abcdef", k=4)) for _ in range(r.randint(0, 60))]
+        want = []
+        for name, kind, wording in r.sample(license.TEMPLATES[:20], 2):
+            part = wording.replace("<holder>", "Some People").split()
+            if r.random() < 0.3 and len(part) > 12:
+                part[r.randrange(3, len(part) - 3)] = "changed"
+            at = r.choice([0, len(words)])
+            words[at:at] = [*part, "zz", "zz"]
+        text = " ".join(words)
+        plain = [w for w, _, _ in license._words(text)]
+        for name, kind, wording in license.TEMPLATES:
+            template = [w for w, _, _ in license._words(wording)]
+            cost, a, b, *_ = license.align(template, plain)
+            if b > a and cost <= 2 * license.DIFFERENT * sum(w[0] != "<" for w in template):
+                want.append((2 * cost - sum(w[0] != "<" for w in template), name))
+        # Whatever explains most of all is among the findings.
+        assert min(want)[1] in {f.license for f in scanner.scan(text)}, text
+
+
+def test_ties_clashing_columns_and_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "Licensed under CC BY 4.0. Licensed under CC BY 4.0.", 5, "x")], "doc_id long, text string, start int, license string")
+    rows = license.find_licenses(docs).collect()
+    assert [(r["license"], r["start"]) for r in rows] == [("CC-BY-4.0", 0), ("CC-BY-4.0", 26)]
+    assert license.find_licenses(docs.limit(0)).count() == 0
