@@ -5,10 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
@@ -69,6 +72,20 @@ def cleanup(since: int = 0, keep: int = 0) -> None:
 atexit.register(cleanup)
 
 
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], T]) -> T:
+    """What ``make`` gives, once a process under this name; another name frees it.
+
+    Python workers outlive the operator they were started for: without this a pipeline's caches would add up in them.
+    """
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 #: Rows of one long that are broadcast: some 32 MB as a hash relation.
 BROADCAST_ROWS = 2_000_000
 

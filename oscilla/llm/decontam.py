@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fresh, light, text_of
+from .common import durable, fresh, kept, light, text_of
 
 WINDOW, COVERAGE = 5, 0.8
 #: Characters of benchmark text that are broadcast as one index: some 100 MB in a worker at most.
@@ -92,13 +92,13 @@ class _Parts(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, text.split(" "))), dtype=np.uint64)
 
 
-_PARTS = _Parts()
 _SLOT_HASH = np.array([0, _hash("<NAME>"), _hash("<NUM>"), 0, _hash("<UNIT>")], dtype=np.uint64)
 
 
 def _templates(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Template token hashes of all texts in a row, each one's kind and its text's number. Ends of sentences are none."""
-    parts = [_PARTS.of(t) for t in texts]
+    known = kept("template codes", _Parts)
+    parts = [known.of(t) for t in texts]
     codes = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
     which = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
     kind = (codes & _U(7)).astype(np.int8)

@@ -73,8 +73,11 @@ class _Parts(dict):
         return found
 
     def __missing__(self, part: str) -> bytes:
-        known = self.words.get
-        found = b"".join([known(w) or self._word(w) for w in _WORD.findall(part.lower())])
+        low, known = part.lower(), self.words.get
+        if low.isalpha():  # one word
+            found = known(low) or self._word(low)
+        else:
+            found = b"".join([known(w) or self._word(w) for w in _WORD.findall(low)])
         if len(self) < 300_000:
             self[part] = found
         return found

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, light, numbered, text_of
+from .common import durable, kept, light, numbered, text_of
 
 SHINGLE, REGISTERS, ROWS, SIMILARITY = 5, 128, 4, 0.8
 #: Signatures may fall this far below the threshold: over four standard deviations of the estimate.
@@ -38,9 +38,6 @@ class _Hashes(dict):
         return value
 
 
-_HASHES = _Hashes()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -49,9 +46,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
-    if len(_HASHES) > 200_000:
-        _HASHES.clear()
-    return np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+    known = kept("word hashes", _Hashes)
+    if len(known) > 200_000:
+        known.clear()
+    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def shingles(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:

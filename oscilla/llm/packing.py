@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fresh, text_of
+from .common import durable, fresh, kept, text_of
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Entries of either cache of an encoder: some 70 MB each at most for words of usual length.
@@ -52,7 +52,6 @@ _KNOWN = (
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _HIDDEN = [b for b in range(256) if b not in _SHOWN]
 _LETTERS = [chr(b) if b in _SHOWN else chr(256 + _HIDDEN.index(b)) for b in range(256)]
-_ENCODERS: dict[str, Encoder] = {}
 
 
 @dataclass(frozen=True)
@@ -138,9 +137,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """The encoder of ``path``, made once a process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return kept(f"encoder {path}", lambda: Encoder(path))
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, tokens: int = 2048, end_id: int = 0, text: str = "text") -> DataFrame:
