@@ -7,8 +7,8 @@ texts agree in a register with the probability of their weighted Jaccard similar
 
 Texts that are word for word the same are folded first. Texts that share a band are candidates: each is verified
 against its bucket's pivot, and where a bucket still holds several classes, its members are compared in tiles of
-bounded size, first the likeliest pairs of any two classes, then every pair left between two that the signatures allow. Pairs within one class need no
-test: the result is the class.
+bounded size, first the likeliest pairs of any two classes, then every pair left between two that the signatures allow;
+large buckets are split by further common bands before. Pairs within one class need no test: the result is the class.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ SHINGLE, REGISTERS, ROWS, SIMILARITY = 5, 128, 4, 0.8
 #: Signatures may fall this far below the threshold: over four standard deviations of the estimate.
 SLACK = 0.16
 TILE = 256
+#: Buckets of more texts are split by the further bands their texts share, up to SPLITS times.
+HOT, SPLITS = 4096, 2
 _WORD = re.compile(r"\w+")
 _U = np.uint64
 
@@ -240,6 +242,28 @@ def _labelled(ids: DataFrame, labels: DataFrame) -> DataFrame:
     return ids.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
+def _split(inside: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """(band, id, label, n): members of mixed buckets (band, pos, id, label, n), none of which is hot if that can be.
+
+    A hot bucket becomes one for each further band (``pos`` tells which come after it), so its members are copied 31
+    times at most, however many there are. Two texts that share a band whose bucket isn't hot meet in that one; those
+    whose common buckets are all hot must share SPLITS bands more, which a pair at 0.8 fails to once in 80,000.
+    """
+    parts = []
+    for _ in range(SPLITS):
+        if most <= HOT:
+            break
+        parts.append(inside.where(F.col("n") <= HOT).select("band", "id", "label", "n"))
+        hot = inside.where(F.col("n") > HOT).join(texts.select("id", F.posexplode("bands").alias("q", "other")), "id")
+        more = hot.where("q > pos").select(F.xxhash64("band", "other").alias("band"), F.col("q").alias("pos"), "id", "label")
+        mixed = more.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").drop("l", "h")
+        inside = durable(more.join(mixed, "band"))
+        most = inside.agg(F.max("n")).first()[0] or 0
+    for part in parts:
+        inside = inside.select("band", "id", "label", "n").unionByName(part)
+    return inside
+
+
 def near_rows(docs: DataFrame, row: str, text: str = "text") -> DataFrame:
     """As :func:`near_classes`, and ``row``: the number of each row in column ``row`` of ``docs``, a written table."""
     body = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_of(text).alias("text"))
@@ -248,7 +272,7 @@ def near_rows(docs: DataFrame, row: str, text: str = "text") -> DataFrame:
     texts = durable(
         signed.groupBy("words").agg(F.min("row").alias("id"), F.any_value("bands").alias("bands"), F.any_value("signature").alias("signature"))
     )
-    entries = texts.select("id", F.explode("bands").alias("band"))
+    entries = texts.select("id", F.posexplode("bands").alias("pos", "band"))
     buckets = entries.groupBy("band").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     members = durable(entries.join(buckets, "band"))
     pairs = durable(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
@@ -265,11 +289,12 @@ def near_rows(docs: DataFrame, row: str, text: str = "text") -> DataFrame:
     # The pivot's text comes last in the join, hence read once for all its members.
     links = verified(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels, tried = components(links), pairs
+    most = members.agg(F.max("n")).first()[0] or 0
     # First the likeliest pairs of any two classes, which joins most that belong together; then all that are left.
     for limit in (16, 1 << 40):
-        current = _labelled(members.select("band", "id", "n"), labels)
+        current = _labelled(members.select("band", "pos", "id", "n"), labels)
         mixed = current.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("band")
-        inside = current.join(mixed, "band").join(texts.select("id", "signature"), "id")
+        inside = _split(current.join(mixed, "band"), texts, most).join(texts.select("id", "signature"), "id")
         tiles = F.ceil(F.col("n") / TILE).cast("int")
         tile = F.pmod(F.xxhash64("id"), tiles).cast("int")
         spread = (

@@ -147,3 +147,24 @@ def test_very_long_texts(spark):
     one = " ".join(f"w{k * k % 9973}" for k in range(60_000))
     docs = spark.createDataFrame([(1, one), (2, one + " tail"), (3, one.replace("w", "v"))], "doc_id long, text string")
     assert {(r["doc_id"], r["class_id"]) for r in minhash.near_classes(docs).collect()} == {(1, 1), (2, 1), (3, 3)}
+
+
+def test_hot_buckets_are_split_without_a_loss(spark, monkeypatch):
+    """Texts about as near as the threshold, in chains and beside others that share most bands with none of them linked."""
+    r = random.Random(7)
+    base = words(r, 150)
+    texts = []
+    for share in (1, 2, 2, 3, 4, 6):
+        for _ in range(12):
+            copy = list(base)
+            for at in r.sample(range(len(copy)), share):
+                copy[at] = f"x{r.random()}"
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute(texts)
+    for hot, tile in ((3, 2), (10, 256)):
+        monkeypatch.setattr(minhash, "HOT", hot)
+        monkeypatch.setattr(minhash, "TILE", tile)
+        got = {r["doc_id"]: r["class_id"] for r in minhash.near_classes(docs).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+    assert 1 < len(set(want)) < len(texts)
