@@ -95,22 +95,26 @@ def grades(labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, graded: DataFrame, rows: int = 1500, longest: int = 16_384) -> OrdinalModel:
-    """A model from at most ``rows`` graded rows of each grade (in the order of a hash of the id), of at most ``longest`` characters."""
-    texts: list[str] = []
-    found: list[int] = []
-    for g in sorted(r["grade"] for r in graded.select("grade").distinct().collect()):
-        ids = graded.where(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id")
-        body = docs.select("doc_id", text_of().alias("text")).where(F.length("text") <= longest).join(F.broadcast(ids), "doc_id", "left_semi")
-        own = [r["text"] for r in body.groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id").collect()]
-        texts += own
-        found += [g] * len(own)
-    return train(texts, found)
+    """A model from at most ``rows`` graded rows of each grade (in the order of a hash of the id), of at most ``longest``
+    characters, read in one pass. Null text counts as empty; a doc_id that repeats counts once, with its smallest text."""
+    known = sorted(r["grade"] for r in graded.where("grade is not null").select("grade").distinct().collect())
+    if not known:
+        return train([], [])
+    first = [graded.where(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", "grade") for g in known]
+    ids = first[0]
+    for more in first[1:]:
+        ids = ids.unionByName(more)
+    body = docs.select("doc_id", text_of().alias("text")).where(F.length("text") <= longest).join(F.broadcast(ids), "doc_id")
+    once = body.groupBy("grade", "doc_id").agg(F.min("text").alias("text")).toArrow()
+    sample = sorted(zip(*(once.column(n).to_pylist() for n in ("grade", "doc_id", "text")), strict=True))
+    return train([t for _, _, t in sample], [g for g, _, _ in sample])
 
 
 def score(docs: DataFrame, model: OrdinalModel, at_least: int = 1, probability: float = 0.5) -> DataFrame:
     """doc_id, expected_grade, tail_probability (that the grade is ``at_least``), kept, for every row's whole text.
 
-    Null text counts as empty; repeated rows are scored each; other columns are ignored.
+    Null text counts as empty, which has the bias alone; equal texts have equal scores, and a tail of exactly
+    ``probability`` is kept; repeated rows are scored each; other columns are ignored; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

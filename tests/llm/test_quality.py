@@ -1,6 +1,7 @@
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+import xxhash
 
 from oscilla.llm import quality
 
@@ -56,3 +57,62 @@ def test_scores_of_a_frame(spark):
 def test_one_grade_only(grades, kept):
     model = quality.train(["a b", "c d"], grades)
     assert bool(model.tails("a b")[0] >= 0.5) is kept
+
+
+def slow_tails(model, text):
+    """By the definition, feature by feature in a dictionary."""
+    import math
+
+    mask = 2**64 - 1
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    tokens = quality._TOKEN.findall(text)
+    code = lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace"))
+    seen = {}
+    for k, t in enumerate(tokens):
+        own = [code(t), code("\0upper" if t.isupper() and len(t) > 1 else "\0long" if len(t) > 24 else "\0sign" if not t[0].isalnum() else "\0word")]
+        if k:
+            own.append(mixed((code(tokens[k - 1]) * 0x9E3779B97F4A7C15 + code(t)) & mask))
+            own += [7] if tokens[k - 1] == t else []
+        for f in own:
+            slot = f % (quality.SLOTS - 1) + 1
+            seen[slot] = seen.get(slot, 0) + 1
+    values = {s: math.log1p(n) for s, n in seen.items()}
+    norm = max(1e-9, math.sqrt(sum(v * v for v in values.values())))
+    z = 0.2 * model.weights[0] + sum(model.weights[s] * v / norm for s, v in values.items())
+    return [1 / (1 + math.exp(-(z - t))) for t in model.thresholds]
+
+
+def test_tails_and_likelihood_against_brute_force():
+    texts = ["good words, good people", "BAD bad!! bad\n\nbad", "x" * 40 + " fine", "", "plain words about people", "good and plain", "!!! ??? $$$", "words words words"]
+    grades = [2, 0, 1, 0, 2, 2, 0, 1]
+    model = quality.train(texts, grades)
+    for t in [*texts, "unseen words here", "good " * 5000]:
+        assert model.tails(t) == pytest.approx(slow_tails(model, t), abs=1e-9)
+
+    def likelihood(m):
+        edges = [[1.0, *slow_tails(m, t), 0.0] for t in texts]
+        return sum(np.log(e[g] - e[g + 1]) for e, g in zip(edges, grades, strict=True))
+
+    # Any step away from what was learned, in the thresholds or along a text's features, is less likely or nearly as likely.
+    blank = quality.OrdinalModel(np.zeros_like(model.weights), model.thresholds)
+    assert likelihood(model) > likelihood(blank)
+    rng = np.random.default_rng(3)
+    for _ in range(10):
+        moved = quality.OrdinalModel(model.weights + rng.normal(size=len(model.weights)) * (model.weights != 0), model.thresholds)
+        assert likelihood(moved) < likelihood(model) + 0.5
+
+
+def test_very_long_texts_ties_and_clashing_columns(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(1, "good words here", 1, 2), (2, "%%% %%%", 1, 2), (3, "good words here", 1, 2), (4, "good words " * 200_000, 1, 2)], "doc_id long, text string, grade int, kept int")
+    model = quality.fit(docs, quality.grades(labels))
+    by = {r["doc_id"]: r["expected_grade"] for r in quality.score(docs, model).collect()}
+    assert by[1] == by[3] > by[2] and by[4] > by[2]
+    tail = [float(model.tails("good words here")[0])]
+    rows = quality.score(docs, model, probability=tail[0]).collect()
+    assert [r["kept"] for r in rows if r["doc_id"] in (1, 3)] == [True, True]
