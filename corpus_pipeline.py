@@ -1,7 +1,13 @@
 """The corpus pipeline: toxic documents go, then copies, near copies and benchmark leaks; the rest is packed.
 
 Each stage takes (spark, docs, sf_dir) and returns a frame that is written as Parquet and read again as the next one's
-documents, so a lost executor costs one stage at most. All but the last return the columns of ``documents``.
+documents, so a lost executor costs one stage at most. All but the last return the columns of ``documents``, extra ones
+among them, whatever they are called.
+
+In every stage null text counts as empty. An empty table gives an empty one. Rows that repeat are toxic or leaks all
+together, and one of them stays after exact deduplication: the one with the smallest doc_id, a null one only where there
+is no other. Empty texts score as texts without evidence, are copies of each other, hold no benchmark item and are
+packed as one end token.
 """
 
 from __future__ import annotations
