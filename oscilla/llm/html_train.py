@@ -1,7 +1,8 @@
 """Training of the block labeller on invented pages: ``python -m oscilla.llm.html_train``.
 
 Pages are drawn from many layouts with known main text: semantic tags or classes or neither, menus, headers, adverts,
-notices, forms, sidebars, comments and footers around and inside the article, in words of invented languages.
+notices, forms, sidebars, comments and footers around and inside the article, some deep in plain elements, in words of
+invented languages.
 """
 
 from __future__ import annotations
@@ -59,6 +60,15 @@ class _Page:
         self.out.append(head)
         return f"</{head[1:].split()[0].rstrip('>')}>"
 
+    def nest(self) -> str:
+        """Sometimes plain elements, up to sixteen in one another, between an element that tells and its text."""
+        r = self.r
+        if r.random() > 0.3:
+            return ""
+        heads = [r.choice(("<div>", "<div>", f"<div class='{r.choice(_NEUTRAL)}'>", "<section>")) for _ in range(r.choice((1, 2, 3, 5, 8, 12, 16)))]
+        self.out += heads
+        return "".join("</section>" if h == "<section>" else "</div>" for h in reversed(heads))
+
     def text(self, text: str, kept: bool) -> None:
         self.out.append(text)
         self.kept.append(kept)
@@ -78,6 +88,7 @@ class _Page:
     def junk(self, kind: str) -> None:
         r = self.r
         end = self.open(_KINDS[kind])
+        end = self.nest() + end
         if kind in ("menu", "social") or kind in ("side", "footer", "header") and r.random() < 0.5:
             self.out.append("<ul>")
             self.links(r.randint(1, 8))
@@ -107,6 +118,7 @@ class _Page:
     def article(self) -> None:
         r = self.r
         end = self.open(_MAIN)
+        end = self.nest() + end
         if r.random() < 0.8:
             self.tagged(r.choice(("h1", "h1", "h2")), self.sentence(r.randint(2, 12)), True)
         paragraphs = r.choice((1, 2, 3, 5, 8, 12, 18))
@@ -212,7 +224,7 @@ def gradients(model: Labeller, pages: list, labels: list[np.ndarray]) -> tuple[f
     return float(loss), grad
 
 
-def train(pages: int = 6000, epochs: int = 5, batch: int = 24, rate: float = 6e-3, seed: int = 0, say=print) -> Labeller:
+def train(pages: int = 14000, epochs: int = 6, batch: int = 24, rate: float = 6e-3, seed: int = 0, say=print) -> Labeller:
     rng = np.random.default_rng(seed)
     data = [e for e in map(example, range(seed, seed + pages)) if len(e[1]) and len(e[1]) < 200]
     model = Labeller({"x": rng.normal(0, 0.05, (SLOTS, 8 * HIDDEN)), "h": rng.normal(0, 0.15, (2, HIDDEN, 4 * HIDDEN)), "o": rng.normal(0, 0.1, 2 * HIDDEN + 1)})

@@ -120,3 +120,13 @@ def test_quotes_that_nothing_closes():
         began = time.process_time()
         html.leaves(page)
         assert time.process_time() - began < 5
+
+
+@pytest.mark.parametrize("head", ["<footer>", "<aside>", "<nav>", "<section id='comments'>", "<div class='cookie'>"])
+@pytest.mark.parametrize("depth", [0, 10, 16])
+def test_the_only_telling_ancestor_may_be_far_above(labeller, head, depth):
+    prose = lambda k: " ".join(f"Solen verat {w} mon sched the analo rede {k}." for w in ("tion", "heran", "ingst", "ouver"))
+    inner = "".join(f"<p>{prose(k)}</p>" for k in range(2))
+    tag = re.match(r"<(\w+)", head)[1]
+    page = f"<html><body><article><h1>Veran ed solen</h1><p>{prose(5)}</p><p>{prose(6)}</p><p>{prose(7)}</p></article>{head}{'<div>' * depth}{inner}{'</div>' * depth}</{tag}></body></html>"
+    assert html.main_texts([page], labeller)[0].split("\n") == ["Veran ed solen", prose(5), prose(6), prose(7)]
