@@ -13,10 +13,11 @@ from ..functions import magnitude
 from ..validate import columns, positive
 
 
-def stream_jerk(samples: DataFrame, idle_ms: int | None = None) -> DataFrame:
+def stream_jerk(samples: DataFrame, idle_ms: int | None = None, keep_late: bool = False) -> DataFrame:
     """(series_id, ts_us, jerk) of a stream of SAMPLES: each series keeps its last sample as state.
 
-    Samples of a micro-batch are taken in time order; one older than the state's is late and left out. With
+    Samples of a micro-batch are taken in time order; one no newer than the state's is late and left out, or with
+    ``keep_late`` given with a null jerk, so that late ones can be counted or stored. With
     ``idle_ms`` a series idle for so long in processing time is forgotten and starts anew with a jerk of 0; such a
     query has a batch to run at any time, so it doesn't end by itself.
     """
@@ -31,7 +32,10 @@ def stream_jerk(samples: DataFrame, idle_ms: int | None = None) -> DataFrame:
         rows = pd.concat(list(batches)).sort_values("ts_us", kind="stable")
         last = state.get if state.exists else None
         if last is not None:
-            rows = rows[rows["ts_us"] > last[0]]
+            late = rows["ts_us"] <= last[0]
+            if keep_late and late.any():
+                yield pd.DataFrame({"series_id": key[0], "ts_us": rows["ts_us"][late], "jerk": None}).astype({"jerk": "Float64"})
+            rows = rows[~late]
         if len(rows):
             before = rows[["x", "y", "z"]].shift()
             if last is not None:

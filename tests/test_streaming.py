@@ -30,3 +30,19 @@ def test_window_summary(spark):
     rows = [(1, i * 1_000_000, 3.0, 4.0, 0.0) for i in range(60)]
     got = streaming.window_summary(spark.createDataFrame(rows, SAMPLES), "30 seconds").orderBy("start").collect()
     assert [(r["n"], r["mean"], r["std"]) for r in got] == [(30, 5.0, 0.0)] * 2
+
+
+def test_late_samples_may_be_kept(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), []
+    for batch in ([(1, 10, 0.0, 0.0, 0.0), (1, 20, 3.0, 4.0, 0.0)], [(1, 15, 9.0, 9.0, 9.0), (1, 20, 9.0, 9.0, 9.0), (1, 30, 3.0, 4.0, 1.0)]):
+        spark.createDataFrame(batch, SAMPLES).coalesce(1).write.mode("append").parquet(folder)
+        query = (
+            streaming.stream_jerk(spark.readStream.schema(SAMPLES).parquet(folder), keep_late=True)
+            .writeStream.foreachBatch(lambda df, _: out.extend(df.collect()))
+            .option("checkpointLocation", str(tmp_path / "state"))
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination(120)
+    assert sorted((r["ts_us"], r["jerk"]) for r in out if r["jerk"] is not None) == [(10, 0.0), (20, 5.0), (30, 1.0)]
+    assert sorted(r["ts_us"] for r in out if r["jerk"] is None) == [15, 20]
