@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,14 +36,15 @@ from .minhash import mix
 
 _WORD = re.compile(r"\w+|[^\w\s]")
 _U = np.uint64
-#: Set in the code of a word that isn't common; a common one's code is its place among them.
-_MARK = 1 << 63
-_RARE = _U(_MARK)
+#: A common word's code is its place among them; any other's is the hash of the word, which is no less than this.
+_RARE = _U(1 << 32)
 #: In place of the word before: none, and the mark of a text's last word, which comes before none.
 _FIRST, _LAST, _SHIFT = 0, 1, 2
 _COLD, _SPREAD, _HOME = 0, 1, 2
 #: Documents of a chunk at most: their number and a flag fill 16 bits.
 _DOCS = 1 << 15
+#: Rows, drawn at random, in which likely common words are looked for.
+SAMPLE = 10_000
 
 
 @dataclass(frozen=True)
@@ -57,17 +58,24 @@ class Shape:
     share: int = 1 << 14
 
 
+def _digest(word: str) -> bytes:
+    """Eight bytes, the highest first, of a word; as a number no less than _RARE."""
+    found = xxhash.xxh3_64_digest(word.encode("utf-8", "replace"))
+    return found if found[:4] != b"\0\0\0\0" else b"\0\0\0\1" + found[4:]
+
+
 class _Parts(dict):
     """What stands between two blanks to the codes of its words (no word holds a blank). Full, it takes no more."""
 
     def __init__(self, common: np.ndarray):
         super().__init__()
-        self.place = {h: k for k, h in enumerate(common.tolist())}
+        hashes = common.astype(">u8").tobytes()
+        self.place = {hashes[8 * k : 8 * k + 8]: k.to_bytes(8, "big") for k in range(len(common))}
         self.words: dict[str, bytes] = {}
 
     def _word(self, word: str) -> bytes:
-        code = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace")) & ~_MARK
-        found = self.place.get(code, code | _MARK).to_bytes(8, "little")
+        found = _digest(word)
+        found = self.place.get(found, found)
         if len(self.words) < 200_000:
             self.words[word] = found
         return found
@@ -83,7 +91,7 @@ class _Parts(dict):
         return found
 
     def of(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, text.split(" "))), dtype=_U)
+        return np.frombuffer(b"".join(map(self.__getitem__, text.split(" "))), dtype=">u8").astype(_U)
 
 
 @dataclass
@@ -163,53 +171,64 @@ def _marked(docs: DataFrame, target: DataFrame, text: str) -> DataFrame:
     return joined if few else durable(joined)
 
 
-def _common(marked: DataFrame, keys: Callable[[_Chunk], tuple[np.ndarray, np.ndarray]], known: np.ndarray, parts: int, least: int, most: int):
-    """Exact counts (keys, seen, wanted) of the keys seen ``least`` times or more, and the sums over all keys and their number.
+def _common(marked: DataFrame, known: np.ndarray, parts: int, least: int, most: int) -> tuple[list[np.ndarray], list[np.ndarray], tuple[int, int, int]]:
+    """Exact counts, in one pass, of the words and pairs seen ``least`` times or more: (hashes, seen, wanted) of words;
+    (pairs of hashes, seen, wanted) of pairs of ``known`` words; and words seen, wanted and different in all.
 
-    ``keys``: of a chunk, the keys and whether each is of the target. Tasks add up their chunks before the shuffle.
+    Tasks add up their chunks before the shuffle. What comes back is no more than the tokens over ``least``.
     """
     shared = marked.sparkSession.sparkContext.broadcast(known)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = _edges(parts)
-        for chunk in _chunks(batches, _Parts(shared.value), most):
-            key, chosen = keys(chunk)
-            distinct, seen = np.unique(key, return_counts=True)
-            own, wanted = np.unique(key[chosen], return_counts=True)
-            both = np.zeros(len(distinct), dtype=np.uint32)
-            both[np.searchsorted(distinct, own)] = wanted
-            place = mix(distinct)
-            order = np.argsort(place)
-            distinct, seen, both = distinct[order], seen[order].astype(np.uint32), both[order]
-            found = [(k, _packed(distinct[s], seen[s], both[s])) for k, s in _slices(place[order], edges)]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([b for _, b in found], pa.binary())], names=["part", "blob"])
+        edges, own = _edges(parts), shared.value
+        for chunk in _chunks(batches, _Parts(own), most):
+            words = chunk.codes.copy()
+            some = np.flatnonzero(words < _RARE)
+            words[some] = own[words[some].astype(np.int64)]
+            a, first = _before(chunk)
+            both = ~first & (a < _RARE) & (chunk.codes < _RARE)
+            found = []
+            for kind, key, chosen in ((0, words, chunk.wanted[chunk.which]), (1, (a[both] << _U(32)) | chunk.codes[both], chunk.wanted[chunk.which[both]])):
+                distinct, seen = np.unique(key, return_counts=True)
+                target, times = np.unique(key[chosen], return_counts=True)
+                wanted = np.zeros(len(distinct), dtype=np.uint32)
+                wanted[np.searchsorted(distinct, target)] = times
+                place = mix(distinct)
+                order = np.argsort(place)
+                distinct, seen, wanted = distinct[order], seen[order].astype(np.uint32), wanted[order]
+                found += [(k, kind, _packed(distinct[s], seen[s], wanted[s])) for k, s in _slices(place[order], edges)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[k] for r in found], t) for k, t in enumerate((pa.int64(), pa.int8(), pa.binary()))], names=["part", "kind", "blob"]
+            )
 
     def add(table: pa.Table) -> pa.Table:
-        columns = [_unpacked(b.as_py(), _U, np.uint32, np.uint32) for b in table.column("blob")]
-        key, seen, wanted = (np.concatenate(c) for c in zip(*columns, strict=True))
-        distinct, _, (n, m) = _summed(key, seen, wanted)
-        some = n >= least
-        return pa.table(
-            {
-                "key": pa.array([None, *distinct[some].view(np.int64).tolist()], pa.int64()),
-                "seen": pa.array([int(n.sum()), *n[some].astype(np.int64).tolist()], pa.int64()),
-                "wanted": pa.array([int(m.sum()), *m[some].astype(np.int64).tolist()], pa.int64()),
-                "words": pa.array([len(distinct)] + [0] * int(some.sum()), pa.int64()),
-            }
-        )
-
-    rows = marked.mapInArrow(count, "part long, blob binary").groupBy("part").applyInArrow(add, "key long, seen long, wanted long, words long").toArrow()
-    key, seen, wanted, words = (rows.column(k) for k in range(4))
-    total = key.is_null().to_numpy()
-    own = ~total
-    code = key.drop_null().to_numpy().astype(np.int64).view(_U)
-    order = np.argsort(code)
-    seen, wanted, words = (c.to_numpy() for c in (seen, wanted, words))
-    return code[order], seen[own][order].astype(float), wanted[own][order].astype(float), int(seen[total].sum()), int(wanted[total].sum()), int(words.sum())
-
-
-def _word_keys(chunk: _Chunk) -> tuple[np.ndarray, np.ndarray]:
-    return chunk.codes & ~_RARE, chunk.wanted[chunk.which]
+        rows: list[tuple] = []
+        for kind in (0, 1):
+            blobs = table.filter(pc.equal(table.column("kind"), kind)).column("blob")
+            if not len(blobs):
+                continue
+            key, seen, wanted = (np.concatenate(c) for c in zip(*(_unpacked(b.as_py(), _U, np.uint32, np.uint32) for b in blobs), strict=True))
+            distinct, _, (n, m) = _summed(key, seen, wanted)
+            some = n >= least
+            rows += zip([kind] * int(some.sum()), distinct[some].view(np.int64).tolist(), n[some].astype(np.int64).tolist(), m[some].astype(np.int64).tolist(), strict=True)
+            if kind == 0:
+                rows.append((2, len(distinct), int(n.sum()), int(m.sum())))
+        return pa.table({name: pa.array([r[k] for r in rows], t) for k, (name, t) in enumerate((("kind", pa.int8()), ("key", pa.int64()), ("seen", pa.int64()), ("wanted", pa.int64())))})
+
+    sent = marked.mapInArrow(count, "part long, kind tinyint, blob binary")
+    rows = sent.groupBy("part").applyInArrow(add, "kind tinyint, key long, seen long, wanted long").toArrow()
+    kind, key, seen, wanted = (rows.column(k).to_numpy() for k in range(4))
+
+    def of(k: int) -> list[np.ndarray]:
+        own = kind == k
+        code = key[own].astype(np.int64).view(_U)
+        order = np.argsort(code)
+        return [code[order], seen[own][order].astype(float), wanted[own][order].astype(float)]
+
+    total = kind == 2
+    words, pairs = of(0), of(1)
+    pairs[0] = np.stack([known[(pairs[0] >> _U(32)).astype(np.int64)], known[(pairs[0] & _U((1 << 32) - 1)).astype(np.int64)]]) if len(pairs[0]) else np.zeros((2, 0), dtype=_U)
+    return words, pairs, (int(seen[total].sum()), int(wanted[total].sum()), int(key[total].sum()))
 
 
 def _before(chunk: _Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -218,24 +237,16 @@ def _before(chunk: _Chunk) -> tuple[np.ndarray, np.ndarray]:
     return a, np.r_[True, chunk.which[1:] != chunk.which[:-1]][: len(a)]
 
 
-def _pair_keys(chunk: _Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of common words, by their two places."""
-    a, first = _before(chunk)
-    both = ~first & (a < _RARE) & (chunk.codes < _RARE)
-    return (a[both] << _U(32)) | chunk.codes[both], chunk.wanted[chunk.which[both]]
-
-
 def counts(docs: DataFrame, target: DataFrame, shape: Shape = Shape(), text: str = "text") -> DataFrame:
     """(a, b, seen, wanted): occurrences of each word (a null) and pair over all rows and over rows in ``target``.
 
-    Words are 63 bits of their hash; before a text's first word stands -1. Tasks add up before the shuffle.
+    Words are their hashes as signed numbers; before a text's first word stands -1. Tasks add up before the shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches, _Parts(np.zeros(0, dtype=_U)), shape.pairs):
             a, first = _before(chunk)
-            b = (chunk.codes & ~_RARE).view(np.int64)
-            a = np.where(first, -1, (a & ~_RARE).view(np.int64))
+            b, a = chunk.codes.view(np.int64), np.where(first, -1, a.view(np.int64))
             chosen = chunk.wanted[chunk.which].astype(np.int64)
             table = pa.table({"a": pa.array(np.r_[a, a], mask=np.r_[np.ones(len(a), dtype=bool), np.zeros(len(a), dtype=bool)]), "b": np.r_[b, b], "wanted": np.r_[chosen, chosen]})
             summed = table.group_by(["a", "b"]).aggregate([("wanted", "count"), ("wanted", "sum")]).select(["a", "b", "wanted_count", "wanted_sum"])
@@ -298,7 +309,7 @@ def _sent(chunk: _Chunk, number: int, model: _Model, edges: np.ndarray) -> list[
     # Rare words: all their tokens by the word; the last token of a text once more, as it comes before none.
     rare = np.flatnonzero(~common)
     ends = np.flatnonzero(~common & last)
-    word = np.concatenate([b[rare], b[ends]]) << _U(1)
+    word = np.concatenate([b[rare], b[ends]])
     order = np.argsort(word)
     word = word[order]
     prev = np.concatenate([before[rare], np.full(len(ends), _LAST, dtype=_U)])[order]
@@ -379,12 +390,20 @@ def score(docs: DataFrame, target: DataFrame, shape: Shape = Shape(), text: str
     stable when read twice, as a table is.
     """
     marked = _marked(docs, target, text)
-    size = marked.agg(F.sum(F.length("text"))).first()[0] or 0
+    size, rows = marked.agg(F.sum(F.length("text")), F.count("*")).first()
+    size = size or 0
     parts = max(1, -(-size // (6 * shape.pairs)))
     least = min(max(2, size // (6 * shape.share)), shape.pairs)
-    words, seen, wanted, all_seen, all_wanted, distinct = _common(marked, _word_keys, np.zeros(0, dtype=_U), parts, least, shape.pairs)
+    # Which words are likely common is taken from some rows, and decides no count: it saves a pass over all texts.
+    part = min(1.0, SAMPLE / max(1, rows))
+    likely = marked if part == 1 else marked.sample(part, seed=1)
+    likely, _, _ = _common(likely, np.zeros(0, dtype=_U), max(1, round(parts * part)), max(2, int(least * part / 2)), shape.pairs)
+    (words, seen, wanted), (pairs, both, both_wanted), (all_seen, all_wanted, distinct) = _common(marked, likely[0], parts, least, shape.pairs)
     scale = all_wanted / all_seen if all_wanted else 1.0  # matched: the background's counts as in a sample of the target's size
-    pairs, both, both_wanted, *_ = _common(marked, _pair_keys, words, parts, least, shape.pairs)
+    # Words of a common pair are common: their places among these.
+    pairs = (np.searchsorted(words, pairs[0]).astype(_U) << _U(32)) | np.searchsorted(words, pairs[1]).astype(_U)
+    order = np.argsort(pairs)
+    pairs, both, both_wanted = pairs[order], both[order], both_wanted[order]
     shared = docs.sparkSession.sparkContext.broadcast(
         _Model(words, (seen * scale, wanted), pairs, (both * scale, both_wanted), (all_seen * scale, float(all_wanted)), scale, max(shape.words, distinct), shape.strength)
     )

@@ -74,7 +74,7 @@ def test_every_pair_is_counted_apart_however_many_there_are(spark):
 
 @pytest.mark.parametrize("share", [1, 50, 1 << 14])
 @pytest.mark.parametrize("pairs", [64, 1 << 21])
-def test_common_or_not_on_one_task_or_many_the_losses_are_the_same(spark, share, pairs):
+def test_common_or_not_on_one_task_or_many_the_losses_are_the_same(spark, monkeypatch, share, pairs):
     """Hot words and pairs, a very long text and a word of its own at a text's end, in every division of the work."""
     words = ["the", "the", "the", "of", "of", "and", *(f"x{k}" for k in range(60))]
     rows = [(d, " ".join(words[(d * 31 + k * k * 7 + k // 3) % len(words)] for k in range(25)) + f" own{d % 7}") for d in range(60)]
@@ -82,6 +82,7 @@ def test_common_or_not_on_one_task_or_many_the_losses_are_the_same(spark, share,
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     wanted = spark.createDataFrame([(d,) for d in range(0, 120, 3)], "doc_id long")
     docs = spark.createDataFrame(docs.collect(), "doc_id long, text string")
+    monkeypatch.setattr(lmscore, "SAMPLE", 20 if share == 50 else 10_000)
     shape = lmscore.Shape(words=SHAPE.words, pairs=pairs, strength=SHAPE.strength, share=share)
     got = sorted([(r["doc_id"], r["n_words"], r["background_loss"], r["target_loss"]) for r in lmscore.score(docs, wanted, shape).collect()], key=str)
     for a, b in zip(got, brute(rows, set(range(0, 120, 3))), strict=True):
@@ -93,5 +94,8 @@ def test_words_are_those_of_the_whole_text():
 
     parts = lmscore._Parts(np.zeros(0, dtype=np.uint64))
     for text in ("", " ", "a  b", "A.b,c\nd\te f", "ΟΔΟΣ ΟΔΟΣ. x_y 1,000", "ß ÉÉ  –"):
-        want = minhash.word_hashes(lmscore._WORD.findall(text.lower())) | np.uint64(1 << 63)
+        want = minhash.word_hashes(lmscore._WORD.findall(text.lower()))
         assert parts.of(text).tolist() == want.tolist()
+    common = np.sort(minhash.word_hashes(["b", "the"]))
+    assert lmscore._Parts(common).of("The x b.").tolist() == [int(np.searchsorted(common, h)) if h in common else int(h) for h in minhash.word_hashes(["the", "x", "b", "."])]
+    assert int.from_bytes(lmscore._digest("x"), "big") >= lmscore._RARE
