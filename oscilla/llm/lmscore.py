@@ -53,7 +53,7 @@ class Shape:
     priors, and the share of all tokens (one in ``share``) from which a word or pair is common, if that is below ``pairs``."""
 
     words: int = 1 << 18
-    pairs: int = 1 << 21
+    pairs: int = 3 << 19
     strength: float = 20.0
     share: int = 1 << 14
 
