@@ -495,13 +495,13 @@ def in_memory_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(spark.createDataFrame(found.toArrow()), "x", "y")
 
 
-@_query(f"WITH {S} SELECT series_id, event_id, ts_us, ts_us // 1000 * 1000 AS of_ms, ts_us // 1000000 * 1000000 AS of_s, round(ts_us / 1e6, 3) AS seconds, round((ts_us // 1000) / 1e3, 3) AS seconds_of_ms FROM s")
+@_query(f"WITH {S} SELECT series_id, event_id, ts_us, ts_us // 1000 * 1000 AS of_ms, ts_us // 1000000 * 1000000 AS of_s, round(ts_us / 1e6, 6) AS seconds, round((ts_us // 1000) / 1e3, 6) AS seconds_of_ms FROM s")
 def time_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Time in each unit as microseconds and as seconds."""
     ms, s = F.floor(F.col("ts_us") / 1000).cast("long"), F.floor(F.col("ts_us") / 1_000_000).cast("long")
     return _samples(spark, sf_dir).select(
         "series_id", "event_id", microseconds(F.col("ts_us"), "us").alias("ts_us"), microseconds(ms, "ms").alias("of_ms"), microseconds(s, "s").alias("of_s"),
-        F.round(seconds(F.col("ts_us"), "us"), 3).alias("seconds"), F.round(seconds(ms, "ms"), 3).alias("seconds_of_ms"),
+        F.round(seconds(F.col("ts_us"), "us"), 6).alias("seconds"), F.round(seconds(ms, "ms"), 6).alias("seconds_of_ms"),
     )
 
 
