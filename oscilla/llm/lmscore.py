@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,6 +43,7 @@ _FIRST, _LAST, _SHIFT = 0, 1, 2
 _COLD, _SPREAD, _HOME = 0, 1, 2
 #: Documents of a chunk at most: their number and a flag fill 16 bits.
 _DOCS = 1 << 15
+_TASKS = 1 << 16
 #: Rows, drawn at random, in which likely common words are looked for.
 SAMPLE = 10_000
 
@@ -155,6 +156,28 @@ def _slices(ordered: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, slice
             yield k, slice(ends[k], ends[k + 1])
 
 
+def _by_part(sent: DataFrame, parts: int, add: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``add`` of all rows of each part: one part a task, or beyond _TASKS parts several, one after another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            part = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                if start < end:
+                    if held and held[0].column(0)[0].as_py() != part[start]:
+                        yield from add(pa.Table.from_batches(held)).to_batches()
+                        held = []
+                    held.append(batch.slice(start, end - start))
+        if held:
+            yield from add(pa.Table.from_batches(held)).to_batches()
+
+    tasks = min(parts, _TASKS)
+    placed = sent.repartitionById(tasks, F.pmod("part", F.lit(tasks)).cast("int"))
+    return (placed if tasks == parts else placed.sortWithinPartitions("part")).mapInArrow(run, schema)
+
+
 def _summed(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Distinct keys, each key's place among them, and the weights' sums."""
     distinct, at = np.unique(keys, return_inverse=True)
@@ -216,7 +239,7 @@ def _common(marked: DataFrame, known: np.ndarray, parts: int, least: int, most:
         return pa.table({name: pa.array([r[k] for r in rows], t) for k, (name, t) in enumerate((("kind", pa.int8()), ("key", pa.int64()), ("seen", pa.int64()), ("wanted", pa.int64())))})
 
     sent = marked.mapInArrow(count, "part long, kind tinyint, blob binary")
-    rows = sent.groupBy("part").applyInArrow(add, "kind tinyint, key long, seen long, wanted long").toArrow()
+    rows = _by_part(sent, parts, add, "kind tinyint, key long, seen long, wanted long").toArrow()
     kind, key, seen, wanted = (rows.column(k).to_numpy() for k in range(4))
 
     def of(k: int) -> list[np.ndarray]:
@@ -436,6 +459,6 @@ def score(docs: DataFrame, target: DataFrame, shape: Shape = Shape(), text: str
         return pa.table({"doc_id": pa.array(ids, mask=null.astype(bool)), "n_words": n, "background_loss": losses[0], "target_loss": losses[1]})
 
     sent = marked.mapInArrow(send, "part long, chunk long, kind tinyint, blob binary")
-    added = sent.groupBy("part").applyInArrow(add, "chunk long, kind tinyint, blob binary")
+    added = _by_part(sent, parts, add, "chunk long, kind tinyint, blob binary")
     found = added.groupBy("chunk").applyInArrow(finish, "doc_id long, n_words long, background_loss double, target_loss double")
     return found.withColumn("score", F.col("background_loss") - F.col("target_loss"))

@@ -83,6 +83,7 @@ def test_common_or_not_on_one_task_or_many_the_losses_are_the_same(spark, monkey
     wanted = spark.createDataFrame([(d,) for d in range(0, 120, 3)], "doc_id long")
     docs = spark.createDataFrame(docs.collect(), "doc_id long, text string")
     monkeypatch.setattr(lmscore, "SAMPLE", 20 if share == 50 else 10_000)
+    monkeypatch.setattr(lmscore, "_TASKS", 3 if share == 50 else 1 << 16)
     shape = lmscore.Shape(words=SHAPE.words, pairs=pairs, strength=SHAPE.strength, share=share)
     got = sorted([(r["doc_id"], r["n_words"], r["background_loss"], r["target_loss"]) for r in lmscore.score(docs, wanted, shape).collect()], key=str)
     for a, b in zip(got, brute(rows, set(range(0, 120, 3))), strict=True):
