@@ -299,19 +299,25 @@ def _shared(benchmark: DataFrame, item: str, text: str):
 
 def _keyed(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
     """(row, text) to (row, key) of every window of every size in ``sizes``."""
-    for batch in batches:
-        for row, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            hashes, kind, _ = _templates([body.as_py()])
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            batch = whole.slice(at, 256)
+            row = batch.column(0).to_numpy()
+            hashes, kind, which = _templates(batch.column(1).to_pylist())
             for size in sizes:
                 for start in range(0, len(hashes), SLICE):
                     end = start + SLICE + size - 1
-                    for _, keys in readings(hashes[start:end], kind[start:end], size):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), row)), pa.array(keys.view(np.int64))], names=["row", "key"])
+                    for where, keys in readings(hashes[start:end], kind[start:end], size):
+                        text = which[start + where]
+                        own = text == which[start + where + size - 1]
+                        yield pa.RecordBatch.from_arrays([pa.array(row[text[own]]), pa.array(keys[own].view(np.int64))], names=["row", "key"])
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(number, text) to (number, q, key, usable, size) of every usable window."""
+    names = ["number", "q", "key", "usable", "size"]
     for batch in batches:
+        found: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.int64)] for _ in names]
         for number, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             hashes, kind, _ = template(body.as_py())
             size = min(WINDOW, len(hashes))
@@ -321,10 +327,10 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             for places, keys in readings(hashes, kind, size):
                 good = np.isin(places, usable)
                 n = int(good.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, number)), pa.array(places[good]), pa.array(keys[good].view(np.int64)), pa.array(np.full(n, len(usable))), pa.array(np.full(n, size))],
-                    names=["number", "q", "key", "usable", "size"],
-                )
+                own = (np.full(n, number), places[good], keys[good].view(np.int64), np.full(n, len(usable)), np.full(n, size))
+                for column, part in zip(found, own, strict=True):
+                    column.append(part)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in found], names=names)
 
 
 def _joined(docs: DataFrame, benchmark: DataFrame, item: str, text: str) -> DataFrame:

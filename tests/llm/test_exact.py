@@ -104,3 +104,12 @@ def test_tables_go_when_they_are_no_longer_needed(spark):
     assert [os.path.exists(p.removeprefix("file://")) for p in paths] == [False, False, True]
     common.cleanup(since=before)
     assert common.written() == before
+
+
+def test_one_cache_a_process():
+    from oscilla.llm import common
+
+    made = []
+    for name in ("a", "a", "b", "b", "a"):
+        assert common.kept(name, lambda: made.append(name) or [name]) == [name]
+    assert made == ["a", "b", "a"] and len(common._KEPT) == 1
