@@ -56,9 +56,9 @@ def _hash(word: str) -> int:
 
 
 class _Codes(dict):
-    """Token to the hash of its case-folded form, with what it may be in the lowest three bits."""
+    """Token to the hash of its case-folded form, with what it may be in the lowest three bits, as bytes."""
 
-    def __missing__(self, token: str) -> int:
+    def __missing__(self, token: str) -> bytes:
         low = token.lower()
         if token[0].isdigit():
             kind = _NUMBER
@@ -68,22 +68,22 @@ class _Codes(dict):
             kind = _UNIT
         else:
             kind = _NAME if low not in _PLAIN and token[0] != low[:1] and token[1:] == token[1:].lower() else _WORD
-        value = self[token] = _hash(token.casefold()) | kind
-        return value
+        found = (_hash(token.casefold()) | kind).to_bytes(8, "little")
+        if len(self) < 100_000:
+            self[token] = found
+        return found
 
 
 class _Parts(dict):
-    """What stands between two blanks to the codes of its tokens; no token holds a blank."""
+    """What stands between two blanks to the codes of its tokens; no token holds a blank. Full, it takes no more."""
 
     def __init__(self) -> None:
         super().__init__()
         self.codes = _Codes()
 
     def __missing__(self, part: str) -> bytes:
-        tokens = _TOKEN.findall(part)
-        found = np.fromiter(map(self.codes.__getitem__, tokens), dtype=np.uint64, count=len(tokens)).tobytes()
-        if len(self.codes) > 100_000:
-            self.codes.clear()
+        codes = self.codes
+        found = codes[part] if part.isalpha() else b"".join([codes[t] for t in _TOKEN.findall(part)])
         if len(self) < 300_000:
             self[part] = found
         return found
