@@ -5,10 +5,11 @@ for each dyadic strip (0,1], (1,2], (2,4], ... of the weight axis; the strip's p
 levels that the shingle's count covers by their mark. Each register keeps the earliest point assigned to it, so two
 texts agree in a register with the probability of their weighted Jaccard similarity.
 
-Texts that are word for word the same are folded first. Texts that share a band are candidates: each is verified
-against its bucket's pivot, and where a bucket still holds several classes, its members are compared in tiles of
-bounded size, first the likeliest pairs of any two classes, then every pair left between two that the signatures allow;
-large buckets are split by further common bands before. Pairs within one class need no test: the result is the class.
+Texts that are word for word the same are folded first. Buckets of texts that share a band are named by their first
+text, and those of one name are one group, since the bands of near copies mostly have the same first text. A group is
+compared in tiles of bounded size that hold the texts themselves, so that a text is sent once for each tile and not for
+each pair; every pair that the signatures allow is verified there. In large groups the texts are verified against the
+first one before: pairs within one class need no test, as the result is the class.
 """
 
 from __future__ import annotations
@@ -19,17 +20,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, kept, light, numbered, text_of
 
 SHINGLE, REGISTERS, ROWS, SIMILARITY = 5, 128, 4, 0.8
-#: Signatures may fall this far below the threshold: over four standard deviations of the estimate.
-SLACK = 0.16
-TILE = 256
-#: Buckets of more texts are split by the further bands their texts share, up to SPLITS times.
-HOT, SPLITS = 4096, 2
+#: Signatures may fall this far below the threshold: over eight standard deviations of the estimate.
+SLACK = 0.3
+#: Texts and characters on one side of a tile.
+TILE, ROOM = 256, 4_000_000
+#: Groups of more texts are first verified against their first text.
+HOT = 256
+#: Columns of one product of tables of common shingles.
+COLUMNS = 4096
 _WORD = re.compile(r"\w+")
 _U = np.uint64
 
@@ -79,6 +83,31 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return common / union if union else 1.0
 
 
+def overlaps(bags: list[tuple[np.ndarray, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """:func:`overlap` of ``bags[a[k]]`` and ``bags[b[k]]`` for every k; where pairs are many, by products of tables."""
+    if len(a) < 4 * len(bags):
+        return np.array([overlap(bags[i], bags[j]) for i, j in zip(a, b, strict=True)])
+    sizes = np.array([int(counts.sum()) for _, counts in bags])
+    keys, counts = (np.concatenate([bag[k] for bag in bags]) for k in (0, 1))
+    # Each occurrence is an element of its own: what two multisets have in common is then what two sets have.
+    nth = np.arange(sizes.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    elements = mix(np.repeat(keys, counts) + nth.astype(np.uint64) * _U(0xD1342543DE82EF95))
+    _, column, texts = np.unique(elements, return_inverse=True, return_counts=True)
+    column = np.where(texts > 1, np.cumsum(texts > 1) - 1, -1)[column]
+    order = np.argsort(column, kind="stable")
+    column, text = column[order], np.repeat(np.arange(len(bags)), sizes)[order]
+    left, i = np.unique(a, return_inverse=True)
+    right, j = np.unique(b, return_inverse=True)
+    common = np.zeros((len(left), len(right)))
+    for low in range(0, int((texts > 1).sum()), COLUMNS):
+        at = slice(*np.searchsorted(column, (low, low + COLUMNS)))
+        has = np.zeros((len(bags), COLUMNS), dtype=np.float32)
+        has[text[at], column[at] - low] = 1
+        common += has[left] @ has[right].T
+    union = sizes[a] + sizes[b] - common[i, j]
+    return np.where(union > 0, common[i, j] / np.maximum(union, 1), 1.0)
+
+
 def signatures(keys: np.ndarray, counts: np.ndarray, docs: np.ndarray, n: int, registers: int = REGISTERS) -> np.ndarray:
     """(n, registers) hashes of the earliest points; ``docs`` numbers each key's text. A text without keys has zeros.
 
@@ -202,6 +231,45 @@ def _tiles(limit: int, least: float):
     return pairs
 
 
+def _forest(a: list[int], b: list[int]) -> np.ndarray:
+    """Which of the links (a[k], b[k]) join what those before them don't."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    needed = np.zeros(len(a), dtype=bool)
+    for k, (x, y) in enumerate(zip(a, b, strict=True)):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[x], needed[k] = y, True
+    return needed
+
+
+def _links(least: float):
+    candidates = _tiles(1 << 40, least)
+
+    def links(key: tuple, table: pa.Table) -> pa.Table:
+        """Pairs of one tile at the threshold or above, no more than hold its classes together."""
+        pairs = candidates(key, table)
+        a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
+        if len(a):
+            ids, labels, side = (table.column(c).to_numpy() for c in ("id", "label", "side"))
+            order = np.argsort(ids)
+            i, j = (order[np.searchsorted(ids, x, sorter=order)] for x in (a, b))
+            i, j = np.where(side[i] == 1, j, i), np.where(side[i] == 1, i, j)
+            used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+            bags = [multiset(text) for text in table.column("text").take(pa.array(used)).to_pylist()]
+            near = overlaps(bags, place[: len(i)], place[len(i) :]) >= SIMILARITY
+            needed = _forest(labels[i[near]].tolist(), labels[j[near]].tolist())
+            a, b = a[near][needed], b[near][needed]
+        return pa.table({"a": a, "b": b}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return links
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b, text_a, text_b) in the order of b, as a merge join gives them, so that b is read once."""
     last, known = None, None
@@ -242,28 +310,6 @@ def _labelled(ids: DataFrame, labels: DataFrame) -> DataFrame:
     return ids.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
-def _split(inside: DataFrame, texts: DataFrame, most: int) -> DataFrame:
-    """(band, id, label, n): members of mixed buckets (band, pos, id, label, n), none of which is hot if that can be.
-
-    A hot bucket becomes one for each further band (``pos`` tells which come after it), so its members are copied 31
-    times at most, however many there are. Two texts that share a band whose bucket isn't hot meet in that one; those
-    whose common buckets are all hot must share SPLITS bands more, which a pair at 0.8 fails to once in 80,000.
-    """
-    parts = []
-    for _ in range(SPLITS):
-        if most <= HOT:
-            break
-        parts.append(inside.where(F.col("n") <= HOT).select("band", "id", "label", "n"))
-        hot = inside.where(F.col("n") > HOT).join(texts.select("id", F.posexplode("bands").alias("q", "other")), "id")
-        more = hot.where("q > pos").select(F.xxhash64("band", "other").alias("band"), F.col("q").alias("pos"), "id", "label")
-        mixed = more.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").drop("l", "h")
-        inside = durable(more.join(mixed, "band"))
-        most = inside.agg(F.max("n")).first()[0] or 0
-    for part in parts:
-        inside = inside.select("band", "id", "label", "n").unionByName(part)
-    return inside
-
-
 def near_rows(docs: DataFrame, row: str, text: str = "text") -> DataFrame:
     """As :func:`near_classes`, and ``row``: the number of each row in column ``row`` of ``docs``, a written table."""
     body = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_of(text).alias("text"))
@@ -272,51 +318,59 @@ def near_rows(docs: DataFrame, row: str, text: str = "text") -> DataFrame:
     texts = durable(
         signed.groupBy("words").agg(F.min("row").alias("id"), F.any_value("bands").alias("bands"), F.any_value("signature").alias("signature"))
     )
-    entries = texts.select("id", F.posexplode("bands").alias("pos", "band"))
-    buckets = entries.groupBy("band").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    members = durable(entries.join(buckets, "band"))
-    pairs = durable(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
-    wanted = members.select(F.col("id").alias("row")).distinct()
-    bodies = durable(body.select("row", "text").join(light(wanted), "row", "left_semi"))
-
-    def verified(found: DataFrame) -> DataFrame:
-        first = bodies.select(F.col("row").alias("a"), F.col("text").alias("text_a"))
-        second = bodies.select(F.col("row").alias("b"), F.col("text").alias("text_b"))
-        return durable(
-            found.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
-        )
+    entries = texts.select("id", F.explode("bands").alias("band"))
+    buckets = entries.groupBy("band").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
+    stars = durable(entries.join(buckets, "band").where("id <> pivot").select("pivot", "id").distinct())
+    members = stars.union(stars.select("pivot", F.col("pivot").alias("id")).distinct())
+    wanted = members.select("id").distinct()
+    bodies = durable(
+        body.select(F.col("row").alias("id"), "text", F.length("text").alias("chars")).join(light(wanted), "id", "left_semi")
+    )
+    # The first text comes last in the join, hence read once for all its group's.
+    large = stars.groupBy("pivot").agg(F.count("*").alias("n")).where(F.col("n") >= HOT).select("pivot")
+    found = (
+        stars.join(large, "pivot")
+        .select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+        .join(bodies.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+        .join(bodies.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    )
+    links = durable(found.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long"))
+    known = components(links)
+    # Of a large group the first text's class is set apart: its texts meet the others only.
+    of = known.select(F.col("id").alias("pivot"), F.col("label").alias("first"))
+    placed = durable(
+        _labelled(members, known)
+        .join(of, "pivot", "left")
+        .withColumn("apart", F.coalesce(F.col("label") == F.col("first"), F.lit(False)))
+        .join(bodies.select("id", "chars"), "id")
+    )
 
-    # The pivot's text comes last in the join, hence read once for all its members.
-    links = verified(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels, tried = components(links), pairs
-    most = members.agg(F.max("n")).first()[0] or 0
-    # First the likeliest pairs of any two classes, which joins most that belong together; then all that are left.
-    for limit in (16, 1 << 40):
-        current = _labelled(members.select("band", "pos", "id", "n"), labels)
-        mixed = current.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("band")
-        inside = _split(current.join(mixed, "band"), texts, most).join(texts.select("id", "signature"), "id")
-        tiles = F.ceil(F.col("n") / TILE).cast("int")
-        tile = F.pmod(F.xxhash64("id"), tiles).cast("int")
-        spread = (
-            inside.withColumns({"tiles": tiles, "tile": tile})
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-            .select(
-                "band",
-                F.least("tile", "other").alias("i"),
-                F.greatest("tile", "other").alias("j"),
-                F.when(F.col("tile") == F.col("other"), 2).when(F.col("tile") < F.col("other"), 0).otherwise(1).alias("side"),
-                "id",
-                "label",
-                "signature",
-            )
+    def tiles_of(some: Column) -> Column:
+        return F.ceil(F.sum(F.when(some, F.greatest(F.lit(1 / TILE), F.col("chars") / ROOM)).otherwise(0))).cast("int")
+
+    groups = (
+        placed.groupBy("pivot")
+        .agg(tiles_of(~F.col("apart")).alias("tiles"), tiles_of(F.col("apart")).alias("more"), F.min("label").alias("l"), F.max("label").alias("h"))
+        .where("l <> h")
+        .drop("l", "h")
+    )
+    tile = F.when(F.col("apart"), F.col("tiles") + F.pmod(F.xxhash64("id"), "more")).otherwise(F.pmod(F.xxhash64("id"), "tiles")).cast("int")
+    last = F.when(F.col("apart"), F.col("tiles")).otherwise(F.col("tiles") + F.col("more")) - 1
+    spread = (
+        placed.join(groups, "pivot")
+        .withColumns({"tile": tile, "other": F.explode(F.sequence(F.lit(0), last))})
+        .select(
+            "pivot",
+            F.least("tile", "other").alias("i"),
+            F.greatest("tile", "other").alias("j"),
+            F.when(F.col("tile") == F.col("other"), 2).when(F.col("tile") < F.col("other"), 0).otherwise(1).alias("side"),
+            "id",
+            "label",
         )
-        found = durable(spread.groupBy("band", "i", "j").applyInArrow(_tiles(limit, SIMILARITY - SLACK), "a long, b long, more boolean"))
-        fresh = durable(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-        links = durable(links.union(verified(fresh)))
-        labels = components(links)
-        if found.where("more").isEmpty():
-            break
-        tried = durable(tried.union(fresh))
+    )
+    tiles = spread.join(bodies.select("id", "text"), "id").join(texts.select("id", "signature"), "id")
+    near = durable(tiles.groupBy("pivot", "i", "j").applyInArrow(_links(SIMILARITY - SLACK), "a long, b long"))
+    labels = components(links.union(near))
     classes = _labelled(texts.select("id", "words"), labels).select("words", "label")
     rows = durable(signed.select("row", "doc_id", "words").join(classes, "words"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")

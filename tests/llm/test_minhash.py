@@ -168,3 +168,34 @@ def test_hot_buckets_are_split_without_a_loss(spark, monkeypatch):
         got = {r["doc_id"]: r["class_id"] for r in minhash.near_classes(docs).collect()}
         assert [got[i] for i in range(len(texts))] == want
     assert 1 < len(set(want)) < len(texts)
+
+
+def test_overlaps_of_many_pairs_are_exact(monkeypatch):
+    monkeypatch.setattr(minhash, "COLUMNS", 7)
+    bags = [minhash.multiset(t) for t in corpus()]
+    a, b = map(np.array, zip(*[(i, j) for i in range(len(bags)) for j in range(i)], strict=True))
+    assert len(a) >= 4 * len(bags)
+    want = [minhash.overlap(bags[i], bags[j]) for i, j in zip(a, b, strict=True)]
+    assert np.abs(minhash.overlaps(bags, a, b) - want).max() < 1e-12
+
+
+def test_a_family_just_below_the_threshold_is_not_written_pair_by_pair(spark, monkeypatch):
+    r = random.Random(5)
+    base = words(r, 300, 4000)
+    texts = []
+    for _ in range(120):
+        copy = list(base)
+        for at in r.sample(range(len(copy)), 6):
+            copy[at] = f"x{r.random()}"
+        texts.append(" ".join(copy))
+    texts[70] = texts[110] + " end"
+    written, durable = [], minhash.durable
+    monkeypatch.setattr(minhash, "durable", lambda df: written.append(durable(df)) or written[-1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute(texts)
+    for hot in (minhash.HOT, 50):
+        monkeypatch.setattr(minhash, "HOT", hot)
+        got = {r["doc_id"]: r["class_id"] for r in minhash.near_classes(docs).collect()}
+        assert [got[i] for i in range(len(texts))] == want and want[110] == 70 and len(set(want)) > 100
+    # 7,140 pairs share a band and have signatures near the threshold.
+    assert max(df.count() for df in written) < 20 * len(texts)
