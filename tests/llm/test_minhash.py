@@ -199,3 +199,25 @@ def test_a_family_just_below_the_threshold_is_not_written_pair_by_pair(spark, mo
         assert [got[i] for i in range(len(texts))] == want and want[110] == 70 and len(set(want)) > 100
     # 7,140 pairs share a band and have signatures near the threshold.
     assert max(df.count() for df in written) < 20 * len(texts)
+
+
+def test_the_pipelines_stage_grows_with_a_family_and_not_with_its_pairs(spark, monkeypatch):
+    import corpus_pipeline
+
+    r = random.Random(6)
+    base = words(r, 300, 4000)
+    texts = []
+    for _ in range(96):
+        copy = list(base)
+        for at in r.sample(range(len(copy)), 6):
+            copy[at] = f"x{r.random()}"
+        texts.append(" ".join(copy))
+    written, durable = [], minhash.durable
+    monkeypatch.setattr(minhash, "durable", lambda df: written.append(durable(df)) or written[-1])
+    most = []
+    for n in (24, 96):
+        written.clear()
+        docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*texts[:n], texts[0] + " end"])], "doc_id long, text string, lang string")
+        assert sorted(tuple(row) for row in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [(i, t, "en") for i, t in enumerate(texts[:n])]
+        most.append(max(df.count() for df in written))
+    assert most[1] < 8 * most[0]
