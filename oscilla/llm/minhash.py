@@ -9,7 +9,9 @@ Texts that are word for word the same are folded first. Buckets of texts that sh
 text, and those of one name are one group, since the bands of near copies mostly have the same first text. A group is
 compared in tiles of bounded size that hold the texts themselves, so that a text is sent once for each tile and not for
 each pair; every pair that the signatures allow is verified there. In large groups the texts are verified against the
-first one before: pairs within one class need no test, as the result is the class.
+first one before: pairs within one class need no test, as the result is the class. There it is also counted how many of
+a text's shingles any other text of the group has: two texts have no more in common than that, so whoever has too few for
+the threshold is near none of them and meets none.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ SLACK = 0.3
 TILE, ROOM = 256, 4_000_000
 #: Groups of more texts are first verified against their first text.
 HOT = 256
+#: Characters of a large group whose shingles are counted in one task.
+PART = 16_000_000
 #: Columns of one product of tables of common shingles.
 COLUMNS = 4096
 _WORD = re.compile(r"\w+")
@@ -83,16 +87,18 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return common / union if union else 1.0
 
 
+def elements(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Each occurrence as an element of its own: what two multisets have in common is then what two sets have."""
+    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return mix(np.repeat(keys, counts) + nth.astype(np.uint64) * _U(0xD1342543DE82EF95))
+
+
 def overlaps(bags: list[tuple[np.ndarray, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """:func:`overlap` of ``bags[a[k]]`` and ``bags[b[k]]`` for every k; where pairs are many, by products of tables."""
     if len(a) < 4 * len(bags):
         return np.array([overlap(bags[i], bags[j]) for i, j in zip(a, b, strict=True)])
     sizes = np.array([int(counts.sum()) for _, counts in bags])
-    keys, counts = (np.concatenate([bag[k] for bag in bags]) for k in (0, 1))
-    # Each occurrence is an element of its own: what two multisets have in common is then what two sets have.
-    nth = np.arange(sizes.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    elements = mix(np.repeat(keys, counts) + nth.astype(np.uint64) * _U(0xD1342543DE82EF95))
-    _, column, texts = np.unique(elements, return_inverse=True, return_counts=True)
+    _, column, texts = np.unique(elements(*(np.concatenate([bag[k] for bag in bags]) for k in (0, 1))), return_inverse=True, return_counts=True)
     column = np.where(texts > 1, np.cumsum(texts > 1) - 1, -1)[column]
     order = np.argsort(column, kind="stable")
     column, text = column[order], np.repeat(np.arange(len(bags)), sizes)[order]
@@ -204,15 +210,20 @@ def _tiles(limit: int, least: float):
         side = table.column("side").to_numpy()
         values = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype="<u2").reshape(n, -1)
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        sized = "size" in table.column_names
+        size, shared = (table.column(c).to_numpy() if sized else np.zeros(n) for c in ("size", "shared"))
         a, b, s = [], [], []
         for i in left:
-            alike = (values[right] == values[i]).mean(axis=1)
-            ok = (alike >= least) & (labels[right] != labels[i]) & ((side[i] == 0) | (ids[right] > ids[i]))
-            a += [i] * int(ok.sum())
-            b += right[ok].tolist()
-            s += alike[ok].tolist()
-        a, b, s = np.array(a, dtype=int), np.array(b, dtype=int), np.array(s)
-        if len(a):
+            able = _enough(np.minimum(shared[right], shared[i]), size[right] + size[i])
+            some = right[able & (labels[right] != labels[i]) & ((side[i] == 0) | (ids[right] > ids[i]))]
+            alike = (values[some] == values[i]).mean(axis=1)
+            ok = alike >= least
+            a.append(np.full(int(ok.sum()), i))
+            b.append(some[ok])
+            s.append(alike[ok])
+        a, b, s = (np.concatenate([np.zeros(0, dtype=kind), *x]) for x, kind in ((a, int), (b, int), (s, float)))
+        more = False
+        if len(a) > limit:
             low, high = np.minimum(labels[a], labels[b]), np.maximum(labels[a], labels[b])
             order = np.lexsort((-s, high, low))
             a, b, low, high = a[order], b[order], low[order], high[order]
@@ -221,8 +232,6 @@ def _tiles(limit: int, least: float):
             rank = np.arange(len(a)) - np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
             more = bool((rank >= limit).any())
             a, b = a[rank < limit], b[rank < limit]
-        else:
-            more = False
         return pa.table(
             {"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b]), "more": np.full(len(a), more)},
             schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("more", pa.bool_())]),
@@ -248,6 +257,50 @@ def _forest(a: list[int], b: list[int]) -> np.ndarray:
     return needed
 
 
+_COUNTED = "pivot long, part int, id long, elements binary"
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The elements of each text (id, text, groups of pivot and parts) once for each group, dealt out to its parts.
+
+    Half of an element's bits are sent: two that are taken for one only add to what is counted as shared.
+    """
+    schema = pa.schema([("pivot", pa.int64()), ("part", pa.int32()), ("id", pa.int64()), ("elements", pa.binary())])
+    for batch in batches:
+        rows, total = [], 0
+        for k in range(batch.num_rows):
+            found = elements(*multiset(batch.column(1)[k].as_py()))
+            low, short = found & _U(0xFFFFFFFF), (found >> _U(32)).astype("<u4")
+            for group in batch.column(2)[k].as_py():
+                part = low % _U(group["parts"])
+                for p in range(group["parts"]):
+                    rows.append((group["pivot"], p, batch.column(0)[k].as_py(), short[part == p].tobytes()))
+                total += len(found)
+            if total > 1_000_000 or len(rows) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                rows, total = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _count(key: tuple, table: pa.Table) -> pa.Table:
+    """How many elements each text has in this part, and how many of them another text of the group has as well."""
+    found = table.column("elements").to_pylist()
+    size = np.array([len(x) // 4 for x in found])
+    values = np.frombuffer(b"".join(found), dtype="<u4")
+    order = np.argsort(values)
+    same = np.flatnonzero(values[order[1:]] == values[order[:-1]])
+    twice = np.zeros(len(values), dtype=bool)
+    twice[order[same]] = twice[order[same + 1]] = True
+    shared = np.bincount(np.repeat(np.arange(len(size)), size)[twice], minlength=len(size))
+    return pa.table({"pivot": table.column("pivot"), "id": table.column("id"), "size": size, "shared": shared})
+
+
+def _enough(shared, sizes):
+    """Whether two texts of together ``sizes`` elements, ``shared`` of them common at most, may reach the threshold."""
+    return shared * (1 + SIMILARITY) + 1e-6 >= sizes * SIMILARITY
+
+
 def _links(least: float):
     candidates = _tiles(1 << 40, least)
 
@@ -310,6 +363,16 @@ def _labelled(ids: DataFrame, labels: DataFrame) -> DataFrame:
     return ids.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
+def _shared(members: DataFrame, large: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(pivot, id, size, shared) of the texts of ``large`` groups: their shingles, and those that another text there has."""
+    of = members.join(large, "pivot")
+    parts = of.join(bodies.select("id", "chars"), "id").groupBy("pivot").agg(F.ceil(F.sum("chars") / PART).cast("int").alias("parts"))
+    groups = of.join(parts, "pivot").groupBy("id").agg(F.collect_list(F.struct("pivot", "parts")).alias("groups"))
+    dealt = bodies.select("id", "text").join(groups, "id").mapInArrow(_parts, _COUNTED)
+    counted = dealt.groupBy("pivot", "part").applyInArrow(_count, "pivot long, id long, size long, shared long")
+    return durable(counted.groupBy("pivot", "id").agg(F.sum("size").alias("size"), F.sum("shared").alias("shared")))
+
+
 def near_rows(docs: DataFrame, row: str, text: str = "text") -> DataFrame:
     """As :func:`near_classes`, and ``row``: the number of each row in column ``row`` of ``docs``, a written table."""
     body = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_of(text).alias("text"))
@@ -327,7 +390,7 @@ def near_rows(docs: DataFrame, row: str, text: str = "text") -> DataFrame:
         body.select(F.col("row").alias("id"), "text", F.length("text").alias("chars")).join(light(wanted), "id", "left_semi")
     )
     # The first text comes last in the join, hence read once for all its group's.
-    large = stars.groupBy("pivot").agg(F.count("*").alias("n")).where(F.col("n") >= HOT).select("pivot")
+    large = durable(stars.groupBy("pivot").agg(F.count("*").alias("n")).where(F.col("n") >= HOT).select("pivot"))
     found = (
         stars.join(large, "pivot")
         .select(F.col("id").alias("a"), F.col("pivot").alias("b"))
@@ -343,6 +406,10 @@ def near_rows(docs: DataFrame, row: str, text: str = "text") -> DataFrame:
         .join(of, "pivot", "left")
         .withColumn("apart", F.coalesce(F.col("label") == F.col("first"), F.lit(False)))
         .join(bodies.select("id", "chars"), "id")
+        .join(_shared(members, large, bodies), ["pivot", "id"], "left")
+        .fillna(0, ["size", "shared"])
+        # Near means that what is common is at least that share of either text.
+        .where(F.col("shared") + 1e-6 >= F.col("size") * SIMILARITY)
     )
 
     def tiles_of(some: Column) -> Column:
@@ -366,6 +433,8 @@ def near_rows(docs: DataFrame, row: str, text: str = "text") -> DataFrame:
             F.when(F.col("tile") == F.col("other"), 2).when(F.col("tile") < F.col("other"), 0).otherwise(1).alias("side"),
             "id",
             "label",
+            "size",
+            "shared",
         )
     )
     tiles = spread.join(bodies.select("id", "text"), "id").join(texts.select("id", "signature"), "id")

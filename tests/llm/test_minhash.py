@@ -221,3 +221,41 @@ def test_the_pipelines_stage_grows_with_a_family_and_not_with_its_pairs(spark, m
         assert sorted(tuple(row) for row in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [(i, t, "en") for i, t in enumerate(texts[:n])]
         most.append(max(df.count() for df in written))
     assert most[1] < 8 * most[0]
+
+
+def test_counts_of_shared_elements_are_exact():
+    texts = corpus()
+    full = [[(t, n) for t, c in bag(x).items() for n in range(c)] for x in texts]
+    has = Counter(e for x in full for e in x)
+    groups = [[{"pivot": 7, "parts": 3}]] * len(texts)
+    dealt = pa.Table.from_batches(list(minhash._parts([pa.record_batch({"id": range(len(texts)), "text": texts, "groups": groups})])))
+    size, shared = Counter(), Counter()
+    for part in range(3):
+        for r in minhash._count((), dealt.filter(pa.compute.equal(dealt["part"], part))).to_pylist():
+            size[r["id"]] += r["size"]
+            shared[r["id"]] += r["shared"]
+    assert [size[i] for i in range(len(texts))] == [len(x) for x in full]
+    assert [shared[i] for i in range(len(texts))] == [sum(has[e] > 1 for e in x) for x in full]
+
+
+def test_the_pipelines_stage_compares_no_text_that_has_too_much_of_its_own(spark, monkeypatch):
+    import corpus_pipeline
+
+    r = random.Random(8)
+    base = words(r, 300, 4000)
+    texts = []
+    for _ in range(96):
+        copy = list(base)
+        for at in r.sample(range(len(copy)), 16):
+            copy[at] = f"x{r.random()}"
+        texts.append(" ".join(copy))
+    texts[70] = texts[50] + " end"
+    written, durable = [], minhash.durable
+    monkeypatch.setattr(minhash, "durable", lambda df: written.append(durable(df)) or written[-1])
+    monkeypatch.setattr(minhash, "HOT", 3)
+    want = brute(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(row["doc_id"] for row in corpus_pipeline.near_dedup(spark, docs, "").collect()) == sorted(set(want)) and want[70] == 50
+    met = next(df for df in written if "apart" in df.columns)
+    large = next(df for df in written if "shared" in df.columns and "apart" not in df.columns) if any("shared" in df.columns for df in written) else met
+    assert large.count() > 100 and met.join(large.select("pivot").distinct(), "pivot", "left_semi").count() < 0.1 * large.count()
