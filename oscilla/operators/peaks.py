@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,37 +17,73 @@ from .spectral import wide
 
 #: Samples of a series that one task looks at together.
 CHUNK = 1 << 16
-_RECORD = "array<struct<value:double,low:double>>"
-_OPEN = "array<struct<idx:long,top:double,left:double,left_open:boolean,right:double,right_open:boolean,first:boolean,last:boolean>>"
-_PART = f"series_id long, chunk long, begin double, end double, high double, low double, done array<long>, open {_OPEN}, prefix {_RECORD}, suffix {_RECORD}"
+#: What is known of a sample that may tell other chunks of its series something: it is a peak as far as its chunk tells,
+#: the chunk's first, its last. Peaks found in their chunk have none of these and keep their chunk's number.
+_PEAK, _FIRST, _LAST = 1, 2, 4
 
 
-def _descents(v: list[float]) -> tuple[list[float], list[bool], list[tuple[float, float]]]:
-    """For each value the lowest one back to the nearest higher one, and whether there is a higher one.
+def _descents(v: list[float], new: list[bool]) -> tuple[list[float], list[int]]:
+    """For each value the lowest one back to the nearest higher one, or to its run's start where ``new`` is set.
 
-    Also what later values need of these: those higher than all after them, each with the lowest since the one before.
+    Also its rank: 0 with a higher one before it in its run, 1 with an equal one at most, 2 above all before it.
     """
-    lows, walled = [0.0] * len(v), [False] * len(v)
+    lows, ranks = [], []
     stack: list[tuple[float, float]] = []
-    for i, x in enumerate(v):
+    most = -math.inf
+    for x, begins in zip(v, new, strict=True):
+        if begins:
+            stack, most = [], -math.inf
         low = x
         while stack and stack[-1][0] <= x:
-            low = min(low, stack.pop()[1])
-        lows[i], walled[i] = low, bool(stack)
+            before = stack.pop()[1]
+            if before < low:
+                low = before
+        lows.append(low)
+        ranks.append(0 if stack else 2 if x > most else 1)
         stack.append((x, low))
-    return lows, walled, stack
-
-
-def _beyond(top: float, low: float, chunks: list[dict], side: str) -> float:
-    """``low`` carried on through ``chunks``, the nearest first, up to the first value above ``top``."""
-    for chunk in chunks:
-        if chunk["high"] > top:
-            for record in reversed(chunk[side]):
-                if record["value"] > top:
-                    return low
-                low = min(low, record["low"])
-        low = min(low, chunk["low"])
-    return low
+        if x > most:
+            most = x
+    return lows, ranks
+
+
+def _sides(v: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The higher of both sides' lows, and both sides' ranks (left, right), of runs that begin at ``first``; NaN is in none."""
+    known = np.flatnonzero(~np.isnan(v))
+    run = np.cumsum(first)[known]
+    bound = run[1:] != run[:-1]
+    own = v[known].tolist()
+    left, left_rank = _descents(own, np.r_[True, bound][: len(own)].tolist())
+    right, right_rank = _descents(own[::-1], np.r_[bound, True][::-1][: len(own)].tolist())
+    low, ranks = np.full(len(v), math.nan), np.zeros((2, len(v)), dtype=np.int8)
+    low[known] = np.maximum(np.array(left, dtype=float), np.array(right[::-1], dtype=float))
+    ranks[0, known], ranks[1, known] = left_rank, right_rank[::-1]
+    return low, ranks[0], ranks[1]
+
+
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Batches anew, so that what begins at ``place`` 1 is never in two, and where it begins; many of them at once."""
+    held: list[pa.RecordBatch] = []
+
+    def whole() -> tuple[pa.Table, np.ndarray]:
+        table = pa.Table.from_batches(held)
+        return table, table.column("place").to_numpy() == 1
+
+    for batch in batches:
+        starts = np.flatnonzero(batch.column("place").to_numpy() == 1)
+        if len(starts):
+            held.append(batch.slice(0, starts[-1]))
+            if any(len(b) for b in held):
+                yield whole()
+            held = [batch.slice(starts[-1])]
+        else:
+            held.append(batch)
+    if any(len(b) for b in held):
+        yield whole()
+
+
+def _runs(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` with runs of equal ``keys`` together, in order, and each row's ``place`` in its run from 1."""
+    return df.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy("idx")))
 
 
 def find_peaks(signal: DataFrame, prominence: float, value: str = "value", chunk: int = CHUNK) -> DataFrame:
@@ -54,62 +91,61 @@ def find_peaks(signal: DataFrame, prominence: float, value: str = "value", chunk
 
     NaN and null are neither peaks nor higher than any value, and what is beside them is no peak. Chunks of ``chunk``
     sample numbers are looked through on their own, once; only peaks that are higher than all before or after them in
-    their chunk, and what tells these of other chunks, meet by series.
+    their chunk, and what tells these of other chunks, meet by series: a chunk's first and last sample, those above all
+    before or after them, and the lowest between two of these. Many chunks or series are one call of Python.
     """
     columns(signal, "series_id", "idx", value)
     positive(chunk=chunk)
 
-    def look(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.sort_by("idx")
-        idx, v = table.column("idx").to_numpy(), np.array(table.column("v").fill_null(math.nan).to_numpy(), dtype=float)
-        known = np.flatnonzero(~np.isnan(v))
-        own = v[known].tolist()
-        left, left_wall, suffix = _descents(own)
-        right, right_wall, prefix = (x[::-1] if k < 2 else x for k, x in enumerate(_descents(own[::-1])))
-        place = np.full(len(v), -1)
-        place[known] = np.arange(len(known))
-        before, after = np.r_[-math.inf, v[:-1]], np.r_[v[1:], -math.inf]
-        tops = np.flatnonzero((v > before) & (v > after))
-        done, rest = [], []
-        for i in tops.tolist():
-            k = int(place[i])
-            first, last = i == 0, i == len(v) - 1
-            if first or last or not (left_wall[k] and right_wall[k]):
-                rest.append(
-                    {"idx": int(idx[i]), "top": own[k], "left": left[k], "left_open": not left_wall[k], "right": right[k], "right_open": not right_wall[k], "first": first, "last": last}
-                )
-            elif own[k] - max(left[k], right[k]) >= prominence:
-                done.append(int(idx[i]))
-        records = ([{"value": x, "low": low} for x, low in side] for side in (prefix, suffix))
-        row = [key[0], key[1], v[0], v[-1], max(own, default=-math.inf), min(own, default=math.inf), done, rest, *records]
-        return pa.Table.from_pylist([dict(zip(names, row, strict=True))], schema=kinds)
-
-    def meet(table: pa.Table) -> pa.Table:
-        chunks = sorted(table.to_pylist(), key=lambda c: c["chunk"])
-        found = []
-        for n, own in enumerate(chunks):
-            for p in own["open"]:
-                if (p["first"] and not (n and chunks[n - 1]["end"] < p["top"])) or (p["last"] and not (n + 1 < len(chunks) and chunks[n + 1]["begin"] < p["top"])):
-                    continue  # the series ends here, or the neighbour is as high
-                left = _beyond(p["top"], p["left"], chunks[n - 1 :: -1] if n else [], "suffix") if p["left_open"] else p["left"]
-                right = _beyond(p["top"], p["right"], chunks[n + 1 :], "prefix") if p["right_open"] else p["right"]
-                if p["top"] - max(left, right) >= prominence:
-                    found.append(p["idx"])
-        return pa.table({"series_id": pa.array([chunks[0]["series_id"]] * len(found), pa.int64()), "idx": pa.array(found, pa.int64())})
-
-    record = pa.list_(pa.struct([("value", pa.float64()), ("low", pa.float64())]))
-    flags = [(n, pa.bool_()) for n in ("first", "last")]
-    opened = pa.struct([("idx", pa.int64()), ("top", pa.float64()), ("left", pa.float64()), ("left_open", pa.bool_()), ("right", pa.float64()), ("right_open", pa.bool_()), *flags])
-    kinds = pa.schema(
-        [("series_id", pa.int64()), ("chunk", pa.int64()), *((n, pa.float64()) for n in ("begin", "end", "high", "low")), ("done", pa.list_(pa.int64())), ("open", pa.list_(opened)), ("prefix", record), ("suffix", record)]
-    )
-    names = kinds.names
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, first in _tables(batches):
+            idx, v = table.column("idx").to_numpy(), table.column("v").to_numpy()
+            last = np.r_[first[1:], True]
+            before, after = np.r_[-math.inf, v[:-1]], np.r_[v[1:], -math.inf]
+            before[first], after[last] = -math.inf, -math.inf
+            low, left, right = _sides(v, first)
+            tops = (v > before) & (v > after)
+            opened = tops & (first | last | (left > 0) | (right > 0))
+            done = np.flatnonzero(tops & ~opened)
+            done = done[v[done] - low[done] >= prominence]
+            kept = opened | first | last | (left == 2) | (right == 2)
+            # between two kept samples what matters is the lowest one, which takes the place of the first
+            rest = np.flatnonzero(~kept & ~np.isnan(v))
+            gap = np.cumsum(kept)[rest]
+            lowest = np.flatnonzero(np.r_[True, gap[1:] != gap[:-1]][: len(rest)])
+            own = np.flatnonzero(kept)
+            told = np.r_[own, rest[lowest]]
+            values = np.r_[v[own], np.minimum.reduceat(v[rest], lowest) if len(rest) else []]
+            at = np.r_[done, told]
+            inner, none = np.arange(len(at)) < len(done), np.full(len(done), math.nan)
+            state = _PEAK * opened + _FIRST * first + _LAST * last
+            yield pa.record_batch(
+                [
+                    table.column("series_id").take(pa.array(at)).combine_chunks(),
+                    pa.array(table.column("chunk").to_numpy()[at], pa.int64(), mask=~inner),
+                    pa.array(idx[at], pa.int64()),
+                    pa.array(np.r_[none, values], pa.float64()),
+                    pa.array(np.where(inner, 0, state[at]), pa.int32()),
+                ],
+                ["series_id", "part", "idx", "v", "state"],
+            )
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, first in _tables(batches):
+            v, state = table.column("v").to_numpy(), table.column("state").to_numpy()
+            before, after = np.r_[math.nan, v[:-1]], np.r_[v[1:], math.nan]
+            before[first], after[np.r_[first[1:], True]] = math.nan, math.nan  # the series ends here
+            tops = (state & _PEAK > 0) & ((state & _FIRST == 0) | (v > before)) & ((state & _LAST == 0) | (v > after))
+            at = np.flatnonzero(tops)
+            at = at[v[at] - _sides(v, first)[0][at] >= prominence]
+            at = np.r_[np.flatnonzero(table.column("part").is_valid().to_numpy()), at]
+            yield from table.select(["series_id", "idx"]).take(pa.array(at)).to_batches()
+
     own = signal.select(
         F.col("series_id").cast("long").alias("series_id"), F.floor(F.col("idx") / F.lit(float(chunk))).cast("long").alias("chunk"), F.col("idx").cast("long").alias("idx"), F.col(value).cast("double").alias("v")
     )
-    parts = own.groupBy("series_id", "chunk").applyInArrow(look, _PART)
-    inner = parts.select("series_id", F.explode("done").alias("idx"))
-    return inner.unionByName(parts.drop("done").groupBy("series_id").applyInArrow(meet, "series_id long, idx long"))
+    told = _runs(own, "series_id", "chunk").mapInArrow(look, "series_id long, part long, idx long, v double, state int")
+    return _runs(told, "series_id", "part").mapInArrow(meet, "series_id long, idx long")
 
 
 def spectrogram_peaks(spec: DataFrame, prominence: float, scale: float = 60.0) -> DataFrame:

@@ -229,6 +229,21 @@ def test_find_peaks_joins_no_series_with_itself(spark):
     assert "Join" not in plan
 
 
+def test_find_peaks_calls_python_for_many_chunks_at_once(spark):
+    rng = np.random.default_rng(7)
+    df = signal(spark, *(rng.normal(size=n).round(1) for n in (1, 40, 2, 75)), np.arange(30.0), np.where(rng.random(40) < 0.3, np.nan, rng.normal(size=40)))
+    found = peaks.find_peaks(df, 0.5, chunk=7)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+    whole = sorted(peaks.find_peaks(df, 0.5).collect())
+    assert len(whole) > 20 and sorted(found.collect()) == whole
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")  # chunks and series in several batches
+    try:
+        assert sorted(peaks.find_peaks(df, 0.5, chunk=7).collect()) == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+
+
 def test_a_year_long_gap_needs_no_long_array(spark, monkeypatch):
     two = samples(spark, [(1, 0, 0.0, 0.0, 0.0), (1, 31_536_000 * 1_000_000, 1.0, 0.0, 0.0)])
     got = resample.resample_linear(two, 0.1)
