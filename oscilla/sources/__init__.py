@@ -35,7 +35,8 @@ def recordings(lines: DataFrame, ts_unit: str = "s") -> DataFrame:
     parts = F.split(F.trim("value"), r"\s*,\s*|\s+")
     number = [F.expr(f"try_cast(get(parts, {k}) as double)") for k in range(4)]
     return (
-        lines.select("file", parts.alias("parts"))
+        # exploded, so that no filter is moved below the split and repeats it, and all that makes a line, for each condition
+        lines.select("file", F.explode(F.array(parts)).alias("parts"))
         .where(~F.get("parts", F.lit(0)).startswith(HEADER))
         .select(
             F.xxhash64("file").alias("series_id"),

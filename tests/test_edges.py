@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from oscilla import functions as fn
 from oscilla import sources, validate
 from oscilla.operators import peaks, resample, series, spectral, stats
+from oscilla.plans import registry
 from oscilla.plans.features import motion_features
 
 
@@ -244,6 +245,14 @@ def test_find_peaks_calls_python_for_many_chunks_at_once(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
 
 
+def test_lines_are_made_and_split_once(spark, small):
+    plan = registry.QUERIES["scan_recordings"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("format_string(") == 2  # one for each layout
+    lines = [("a", "TIMESTAMP,X"), ("a", " 1.5 , 1,2 ,3,4"), ("b", " 2  1\t2 3 "), ("b", "1 2 3"), ("b", "1 2 x 3"), ("b", ""), ("b", None)]
+    got = sources.recordings(spark.createDataFrame(lines, "file string, value string")).drop("series_id").collect()
+    assert sorted(tuple(r) for r in got) == [(1_500_000, 1.0, 2.0, 3.0, "a"), (2_000_000, 1.0, 2.0, 3.0, "b")]
+
+
 def test_a_year_long_gap_needs_no_long_array(spark, monkeypatch):
     two = samples(spark, [(1, 0, 0.0, 0.0, 0.0), (1, 31_536_000 * 1_000_000, 1.0, 0.0, 0.0)])
     got = resample.resample_linear(two, 0.1)
